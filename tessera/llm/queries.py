@@ -28,9 +28,30 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_token_counts": op6_token_counts,
+    "op3_quality": op3_quality,
+    "op7_sharding": op7_sharding,
+    "op8_html": op8_html,
     "op10_token_records": op10_token_records,
 }
 ORACLE_SQL: dict[str, str] = {}
