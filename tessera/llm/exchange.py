@@ -1,0 +1,331 @@
+"""Finding repeated windows over a corpus: rounds of messages between blocks of documents.
+
+Documents are dealt into blocks (by a hash of the row) that one Python call holds. A block
+reduces its windows to runs with one anchor (fingerprints.Runs) and sends each different
+(anchor, content) once, so however many copies a passage has, a block sends it once and
+no group of rows is ever larger than the number of blocks.
+
+Round 1 learns for every content whether it occurs elsewhere as a whole, and whether other
+contents share its anchor. Round 2 carries the symbols of only the latter, one copy for each
+different content, sorts their windows and answers with the windows that repeat.
+The last step joins the answers with the documents.
+
+mode "earlier": a window counts if it starts in a document of smaller doc_id.
+mode "twice":   a window counts if it starts anywhere else.
+
+The plan is one: the blocks' exchange and the messages' exchanges are reused by the later
+rounds. A lost executor costs the recomputation of its partitions; no state is kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import block_count
+from .fingerprints import SLICE, Runs
+
+#: Bytes of input files in a block, and contents of one anchor beyond which its windows travel one by one.
+BLOCK_BYTES, GROUP_LIMIT = 4 << 20, 20_000
+ALL, NEED, SPLIT = 1, 2, 4
+LAST_DOC = np.iinfo(np.int64).max
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What a symbol is: how documents become symbols, and windows of them are sorted."""
+
+    length: int
+    k: int
+    mode: str
+    #: texts as UTF-8 -> (symbol values, first symbol of each document, first byte of each symbol, the bytes)
+    symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]
+    #: (bytes of the pieces, windows in each, window length) -> (piece, place in it, number) of every window; equal windows share a number
+    sort: Callable[[list[bytes], np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def planes(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Low bytes of number columns, plane by plane: sorted columns then compress."""
+    n = len(columns[0][0])
+    parts = [np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(n, 8)[:, :w].T for c, w in columns]
+    return np.ascontiguousarray(np.concatenate(parts)).tobytes() if n else b""
+
+
+def unplanes(data: bytes, widths: list[int]) -> list[np.ndarray]:
+    flat = np.frombuffer(data, np.uint8).reshape(sum(widths), -1)
+    out, at = [], 0
+    for w in widths:
+        full = np.zeros((flat.shape[1], 8), np.uint8)
+        full[:, :w] = flat[at : at + w].T
+        out.append(full.reshape(-1).view("<u8").astype(np.uint64))
+        at += w
+    return out
+
+
+def low(x: np.ndarray, width: int) -> np.ndarray:
+    return x & np.uint64((1 << 8 * width) - 1)
+
+
+def bucket_of(group: np.ndarray, buckets: int) -> np.ndarray:
+    return ((group >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+GROUP_W, CONTENT_W = 5, 7
+
+
+class Block:
+    """The runs of a block's documents, slice by slice."""
+
+    def __init__(self, rows: pa.Table, kind: Kind):
+        self.ids = np.array([LAST_DOC if d is None else d for d in rows.column("doc_id").to_pylist()], np.int64)
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()]
+        self.kind = kind
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        start = held = 0
+        for i, t in enumerate(self.texts):
+            if held and held + len(t) > SLICE:
+                yield start, i
+                start, held = i, 0
+            held += len(t)
+        if start < len(self.texts):
+            yield start, len(self.texts)
+
+    def runs(self) -> Iterator[tuple[int, int, Runs, np.ndarray, np.ndarray, bytes]]:
+        for a, b in self.slices():
+            values, first, places, data = self.kind.symbols(self.texts[a:b])
+            yield a, b, Runs(values, first, self.kind.length, self.kind.k), first, places, data
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each different content: anchor, content (low bytes), smallest document, number of runs."""
+        group, content, doc = [], [], []
+        for a, _, r, *_ in self.runs():
+            group.append(r.group)
+            content.append(low(r.content, CONTENT_W))
+            doc.append(self.ids[a + r.doc])
+        if not group:
+            zero = np.zeros(0, np.uint64)
+            return zero, zero, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        group, content, doc = map(np.concatenate, (group, content, doc))
+        order = np.argsort(content, kind="stable")
+        new = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[new, len(order)])
+        least = np.minimum.reduceat(doc[order], new) if len(new) else doc[:0]
+        return group[order][new], content[order][new], least, count
+
+
+def one_round(rows: pa.Table, kind: Kind, buckets: int) -> pa.Table:
+    """Messages of round 1: each different content of a block, by bucket of its anchor."""
+    group, content, least, count = Block(rows, kind).distinct()
+    block = rows.column("block")[0].as_py()
+    where = bucket_of(group, buckets)
+    order = np.lexsort((low(group, GROUP_W), where))
+    group, content, where = group[order], content[order], where[order]
+    extra = least[order] if kind.mode == "earlier" else (count[order] > 1).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.zeros(1, np.int64)
+    out: list[tuple[int, int, int, int, bytes]] = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        base = int(extra[a:b].min())
+        over = (extra[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).astype(np.uint64)
+        width = 1 if kind.mode == "twice" else 4 if int(over.max()) < 1 << 32 else 8
+        out.append((int(where[a]), block, base, width, planes([(group[a:b], GROUP_W), (content[a:b], CONTENT_W), (over, width)])))
+    return table(out, ONE)
+
+
+ONE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("width", pa.int32()), ("payload", pa.binary())])
+ANSWER = pa.schema([("block", pa.int32()), ("round", pa.int32()), ("payload", pa.binary())])
+TWO = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("heads", pa.binary()), ("sizes", pa.binary()), ("symbols", pa.binary())])
+
+
+def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
+
+
+def answer_one(rows: pa.Table, mode: str) -> pa.Table:
+    """Answers of round 1, for one bucket: what every block should know about its contents."""
+    group, content, extra, block = [], [], [], []
+    for b, base, width, payload in zip(*(rows.column(c).to_pylist() for c in ("block", "base", "width", "payload")), strict=True):
+        g, c, e = unplanes(payload, [GROUP_W, CONTENT_W, width])
+        group.append(g)
+        content.append(c)
+        extra.append((e + np.uint64(base & (1 << 64) - 1)).astype(np.int64))
+        block.append(np.full(len(g), b, np.int64))
+    group, content, extra, block = map(np.concatenate, (group, content, extra, block))
+    order = np.lexsort((block, extra if mode == "earlier" else block, content, group))
+    group, content, extra, block = group[order], content[order], extra[order], block[order]
+    new_group = np.r_[True, group[1:] != group[:-1]]
+    new = new_group | np.r_[True, content[1:] != content[:-1]]
+    of_group, of_content = np.cumsum(new_group) - 1, np.cumsum(new) - 1
+    contents = np.bincount(of_group, weights=new).astype(np.int64)[of_group]
+    first = np.flatnonzero(new)
+    flag = np.zeros(len(group), np.uint64)
+    need = np.where(contents > 1, np.where(contents > GROUP_LIMIT, NEED | SPLIT, NEED), 0).astype(np.uint64)
+    if mode == "earlier":
+        least = extra[first][of_content]
+        flag[extra > least] = ALL
+        flag[extra == least] |= need[extra == least]
+    else:
+        total = np.bincount(of_content, weights=1 + extra)[of_content]
+        flag[total > 1] = ALL
+        flag[first] |= need[first]
+    told = np.flatnonzero(flag)
+    out = []
+    told = told[np.argsort(block[told], kind="stable")]
+    for part in np.split(told, np.flatnonzero(np.diff(block[told])) + 1) if len(told) else []:
+        out.append((int(block[part[0]]), 1, planes([(content[part], CONTENT_W), (flag[part], 1)])))
+    return table(out, ANSWER)
+
+
+def known(answers: pa.Table, number: int, widths: list[int]) -> list[np.ndarray]:
+    """The block's answers of a round, sorted by content."""
+    parts = [unplanes(p, widths) for r, p in zip(answers.column("round").to_pylist(), answers.column("payload").to_pylist(), strict=True) if r == number]
+    if not parts:
+        return [np.zeros(0, np.uint64) for _ in widths]
+    joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(joined[0], kind="stable")
+    return [c[order] for c in joined]
+
+
+def look_up(keys: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of each content in the sorted keys."""
+    return np.searchsorted(keys, content, "left"), np.searchsorted(keys, content, "right")
+
+
+def flags_of(content: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    at, to = look_up(keys, content)
+    out = np.zeros(len(content), np.uint64)
+    hit = to > at
+    out[hit] = flags[at[hit]]
+    return out
+
+
+def two_round(rows: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa.Table:
+    """Messages of round 2: the symbols of one run for every content that must be compared."""
+    keys, flags = known(answers, 1, [CONTENT_W, 1])
+    if not len(keys) or not rows.num_rows:
+        return table([], TWO)
+    block = Block(rows, kind)
+    number = rows.column("block")[0].as_py()
+    _, contents, least, _ = block.distinct()
+    sent: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+    done: set[int] = set()
+    for a, _, r, _, places, data in block.runs():
+        content = low(r.content, CONTENT_W)
+        flag = flags_of(content, keys, flags)
+        ids = block.ids[a + r.doc]
+        want = flag & np.uint64(NEED) > 0
+        if kind.mode == "earlier":
+            want &= ids == least[np.searchsorted(contents, content)]
+        where = bucket_of(r.group, buckets)
+        for i in np.flatnonzero(want):
+            c = int(content[i])
+            if c in done:
+                continue
+            done.add(c)
+            s, e = int(r.start[i]), int(r.last[i])
+            if int(flag[i]) & SPLIT:  # the prefix becomes the whole window, and tells the bucket
+                for j in range(s, e + 1):
+                    piece = data[places[j] : places[j + kind.length]]
+                    to = hash_bytes(piece) % buckets
+                    sent.setdefault(to, []).append((c, int(ids[i]), j - s, 1, piece))
+            else:
+                sent.setdefault(int(where[i]), []).append((c, int(ids[i]), 0, e - s + 1, data[places[s] : places[e + kind.length]]))
+    out = []
+    for to, items in sent.items():
+        c, d, shift, n, pieces = zip(*items, strict=True)
+        heads = planes([(np.array(c, np.uint64), CONTENT_W), (np.array(d, np.int64).astype(np.uint64), 8), (np.array(shift, np.uint64), 1), (np.array(n, np.uint64), 1)])
+        out.append((to, number, heads, np.array([len(p) for p in pieces], "<u4").tobytes(), b"".join(pieces)))
+    return table(out, TWO)
+
+
+def hash_bytes(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data)
+
+
+def answer_two(rows: pa.Table, kind: Kind) -> pa.Table:
+    """Answers of round 2, for one bucket: of every sent piece, the windows that repeat."""
+    content, doc, shift, count, pieces, block = [], [], [], [], [], []
+    for b, heads, sizes, data in zip(*(rows.column(c).to_pylist() for c in ("block", "heads", "sizes", "symbols")), strict=True):
+        c, d, s, n = unplanes(heads, [CONTENT_W, 8, 1, 1])
+        content.append(c)
+        doc.append(d.astype(np.int64))
+        shift.append(s)
+        count.append(n.astype(np.int64))
+        block.append(np.full(len(c), b, np.int64))
+        edges = np.r_[0, np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))]
+        pieces += [data[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    content, doc, shift, count, block = map(np.concatenate, (content, doc, shift, count, block))
+    piece, place, number = kind.sort(pieces, count, kind.length)
+    if kind.mode == "earlier":
+        least = np.full(int(number.max()) + 1, LAST_DOC, np.int64)
+        np.minimum.at(least, number, doc[piece])
+        hit = doc[piece] > least[number]
+    else:
+        hit = np.bincount(number)[number] > 1
+    mask = np.zeros(len(pieces), np.uint64)
+    np.bitwise_or.at(mask, piece[hit], np.uint64(1) << place[hit].astype(np.uint64))
+    told = np.flatnonzero(mask)
+    told = told[np.argsort(block[told], kind="stable")]
+    out = []
+    for part in np.split(told, np.flatnonzero(np.diff(block[told])) + 1) if len(told) else []:
+        out.append((int(block[part[0]]), 2, planes([(content[part], CONTENT_W), (shift[part], 1), (mask[part], 8)])))
+    return table(out, ANSWER)
+
+
+def removed(rows: pa.Table, answers: pa.Table, kind: Kind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, first symbol .., covered) of each document: which of its symbols repeated windows cover."""
+    keys, flags = known(answers, 1, [CONTENT_W, 1])
+    keys2, shifts, masks = known(answers, 2, [CONTENT_W, 1, 8])
+    block = Block(rows, kind)
+    _, contents, least, counts = block.distinct()
+    for a, b, r, first, _, _ in block.runs():
+        n = int(first[-1])
+        edge = np.zeros(n + 1, np.int64)
+        content = low(r.content, CONTENT_W)
+        own = np.searchsorted(contents, content)
+        every = flags_of(content, keys, flags) & np.uint64(ALL) > 0
+        every |= block.ids[a + r.doc] > least[own] if kind.mode == "earlier" else counts[own] > 1
+        np.add.at(edge, r.start[every], 1)
+        np.add.at(edge, r.last[every] + kind.length, -1)
+        at, to = look_up(keys2, content)
+        for i in np.flatnonzero(~every & (to > at)):
+            for j in range(at[i], to[i]):
+                m, s = int(masks[j]), int(r.start[i]) + int(shifts[j])
+                while m:
+                    bit = (m & -m).bit_length() - 1
+                    edge[s + bit] += 1
+                    edge[s + bit + kind.length] -= 1
+                    m &= m - 1
+        covered = np.cumsum(edge)[:-1] > 0
+        for d in range(a, b):
+            yield d, block.texts[d], covered[first[d - a] : first[d - a + 1]]
+
+
+def find_repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, Iterator], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of finish(rows of a block, their covered symbols), for docs with doc_id long and text string."""
+    n = block_count(docs, block_bytes)
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    mode = kind.mode
+    sent = blocks.groupBy("block").applyInArrow(lambda t: one_round(t, kind, n), ddl(ONE))
+    first = sent.groupBy("bucket").applyInArrow(lambda t: answer_one(t, mode), ddl(ANSWER))
+    asked = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: two_round(t, a, kind, n), ddl(TWO))
+    second = asked.groupBy("bucket").applyInArrow(lambda t: answer_two(t, kind), ddl(ANSWER))
+    answers = first.unionByName(second)
+
+    def last(t: pa.Table, a: pa.Table) -> pa.Table:
+        return finish(t, removed(t, a, kind))
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)

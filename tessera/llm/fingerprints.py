@@ -1,0 +1,103 @@
+"""Vectorised fingerprints and sampled positions of symbol sequences (bytes or words)."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+
+#: Odd multiplier of the polynomial fingerprint, arithmetic is modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+#: Symbols handled at once; positions of a slice fit in 24 bits.
+SLICE = 2_000_000
+PLACE = np.uint64((1 << 24) - 1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+@lru_cache(maxsize=1)
+def byte_values() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+_power: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    held = _power.get(base)
+    if held is None or len(held) < n:
+        size = max(n, 1 << 16)
+        full = np.full(size, base, np.uint64)
+        full[0] = 1
+        held = _power[base] = np.multiply.accumulate(full)
+    return held[:n]
+
+
+class Sequence:
+    """Fingerprints of any stretch of a symbol array, in constant time each."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(BASE, n), out=self.sums[1:])
+        self.back = powers(pow(BASE, -1, 1 << 64), n + 1)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.back[start]
+
+    def every(self, k: int) -> np.ndarray:
+        """Fingerprints of all stretches of k symbols."""
+        n = len(self.sums) - k
+        return (self.sums[k:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
+
+
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    out, h = v, 1
+    while 2 * h <= w:
+        out = np.minimum(out[:-h], out[h:])
+        h *= 2
+    return np.minimum(out[: len(out) - (w - h)], out[w - h :]) if w > h else out
+
+
+class Runs:
+    """The windows of `length` symbols of a slice of documents, grouped by their anchors.
+
+    A window's anchor is the stretch of k symbols in it whose hashed fingerprint is least
+    (the first on a tie), so equal windows have equal anchors at equal places. Consecutive
+    windows with one anchor form a run: anchor, first .. last window start, document.
+    """
+
+    def __init__(self, values: np.ndarray, first: np.ndarray, length: int, k: int):
+        empty = np.zeros(0, np.int64)
+        self.start = self.last = self.doc = self.anchor = empty
+        self.group = self.content = np.zeros(0, np.uint64)
+        n = len(values)
+        if n < length:
+            return
+        seq = Sequence(values)
+        grams = mix(seq.every(k))
+        placed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+        least = sliding_min(placed, length - k + 1)
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        ok = np.arange(len(least)) + length <= first[1:][doc[: len(least)]]
+        anchor = (least & PLACE).astype(np.int64)
+        begins = ok.copy()
+        begins[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
+        ends = ok.copy()
+        ends[:-1] &= ~ok[1:] | (anchor[1:] != anchor[:-1])
+        self.start, self.last = np.flatnonzero(begins), np.flatnonzero(ends)
+        self.anchor = anchor[self.start]
+        self.doc = doc[self.start]
+        self.group = grams[self.anchor]
+        whole = mix(seq.of(self.start, self.last + length))
+        shape = ((self.anchor - self.start) << 20 | (self.last - self.start)).astype(np.uint64)
+        self.content = mix(whole + mix(self.group ^ mix(shape + np.uint64(1))))

@@ -52,13 +52,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_parsing import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_counts": op6_token_counts,
+    "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
     "op7_sharding": op7_sharding,
     "op8_html": op8_html,
+    "op9_parsing": op9_parsing,
     "op10_token_records": op10_token_records,
 }
 ORACLE_SQL: dict[str, str] = {}
