@@ -31,7 +31,7 @@ from .common import block_count
 from .fingerprints import SLICE, Runs
 
 #: Bytes of input files in a block, and contents of one anchor beyond which its windows travel one by one.
-BLOCK_BYTES, GROUP_LIMIT = 4 << 20, 20_000
+BLOCK_BYTES, GROUP_LIMIT = 2 << 20, 20_000
 ALL, NEED, SPLIT = 1, 2, 4
 LAST_DOC = np.iinfo(np.int64).max
 
@@ -79,12 +79,36 @@ GROUP_W, CONTENT_W = 5, 7
 
 
 class Block:
-    """The runs of a block's documents, slice by slice."""
+    """The runs of a block's documents, found slice by slice and kept together."""
 
     def __init__(self, rows: pa.Table, kind: Kind):
         self.ids = np.array([LAST_DOC if d is None else d for d in rows.column("doc_id").to_pylist()], np.int64)
         self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()]
-        self.kind = kind
+        self.parts: list[tuple[int, int, np.ndarray, np.ndarray, bytes]] = []
+        found: list[Runs] = []
+        for a, b in self.slices():
+            values, first, places, data = kind.symbols(self.texts[a:b])
+            found.append(Runs(values, first, kind.length, kind.k))
+            self.parts.append((a, b, first, places, data))
+
+        def joined(name: str) -> np.ndarray:
+            return np.concatenate([getattr(r, name) for r in found]) if found else np.zeros(0, np.int64)
+
+        self.edges = np.cumsum([0, *(len(r.start) for r in found)])
+        self.start, self.last, self.group = joined("start"), joined("last"), joined("group").astype(np.uint64)
+        self.doc = self.ids[np.concatenate([p[0] + r.doc for p, r in zip(self.parts, found, strict=True)])] if found else self.ids[:0]
+        content = low(joined("content").astype(np.uint64), CONTENT_W)
+        order = np.argsort(content, kind="stable")
+        new = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]]) if len(order) else order
+        #: Each different content in order, its first run, smallest document and number of runs; and every run's place in that list.
+        self.contents, self.first_run = content[order][new], order[new]
+        self.least = np.minimum.reduceat(self.doc[order], new) if len(new) else self.doc[:0]
+        self.count = np.diff(np.r_[new, len(order)])
+        self.own = np.empty(len(order), np.int64)
+        self.own[order] = np.repeat(np.arange(len(new)), self.count)
+        if kind.mode == "earlier" and len(new):  # the run that stands for a content is in its smallest document
+            lead = np.lexsort((order, self.doc[order], content[order]))
+            self.first_run = order[lead[new]]
 
     def slices(self) -> Iterator[tuple[int, int]]:
         start = held = 0
@@ -96,32 +120,18 @@ class Block:
         if start < len(self.texts):
             yield start, len(self.texts)
 
-    def runs(self) -> Iterator[tuple[int, int, Runs, np.ndarray, np.ndarray, bytes]]:
-        for a, b in self.slices():
-            values, first, places, data = self.kind.symbols(self.texts[a:b])
-            yield a, b, Runs(values, first, self.kind.length, self.kind.k), first, places, data
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each different content: anchor, content (low bytes), smallest document, number of runs."""
-        group, content, doc = [], [], []
-        for a, _, r, *_ in self.runs():
-            group.append(r.group)
-            content.append(low(r.content, CONTENT_W))
-            doc.append(self.ids[a + r.doc])
-        if not group:
-            zero = np.zeros(0, np.uint64)
-            return zero, zero, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        group, content, doc = map(np.concatenate, (group, content, doc))
-        order = np.argsort(content, kind="stable")
-        new = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[new, len(order)])
-        least = np.minimum.reduceat(doc[order], new) if len(new) else doc[:0]
-        return group[order][new], content[order][new], least, count
+    def flags(self, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """The flags told of each different content."""
+        out = np.zeros(len(self.contents), np.uint64)
+        if len(keys):
+            out[np.searchsorted(self.contents, keys)] = flags
+        return out
 
 
 def one_round(rows: pa.Table, kind: Kind, buckets: int) -> pa.Table:
     """Messages of round 1: each different content of a block, by bucket of its anchor."""
-    group, content, least, count = Block(rows, kind).distinct()
+    held = Block(rows, kind)
+    group, content, least, count = held.group[held.first_run], held.contents, held.least, held.count
     block = rows.column("block")[0].as_py()
     where = bucket_of(group, buckets)
     order = np.lexsort((low(group, GROUP_W), where))
@@ -197,19 +207,6 @@ def known(answers: pa.Table, number: int, widths: list[int]) -> list[np.ndarray]
     return [c[order] for c in joined]
 
 
-def look_up(keys: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range of each content in the sorted keys."""
-    return np.searchsorted(keys, content, "left"), np.searchsorted(keys, content, "right")
-
-
-def flags_of(content: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    at, to = look_up(keys, content)
-    out = np.zeros(len(content), np.uint64)
-    hit = to > at
-    out[hit] = flags[at[hit]]
-    return out
-
-
 def two_round(rows: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa.Table:
     """Messages of round 2: the symbols of one run for every content that must be compared."""
     keys, flags = known(answers, 1, [CONTENT_W, 1])
@@ -217,30 +214,20 @@ def two_round(rows: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa
         return table([], TWO)
     block = Block(rows, kind)
     number = rows.column("block")[0].as_py()
-    _, contents, least, _ = block.distinct()
+    flag = block.flags(keys, flags)
+    wanted = np.flatnonzero(flag & np.uint64(NEED) > 0)
+    runs = block.first_run[wanted]
+    where = bucket_of(block.group[runs], buckets)
+    slice_of = np.searchsorted(block.edges, runs, "right") - 1
     sent: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
-    done: set[int] = set()
-    for a, _, r, _, places, data in block.runs():
-        content = low(r.content, CONTENT_W)
-        flag = flags_of(content, keys, flags)
-        ids = block.ids[a + r.doc]
-        want = flag & np.uint64(NEED) > 0
-        if kind.mode == "earlier":
-            want &= ids == least[np.searchsorted(contents, content)]
-        where = bucket_of(r.group, buckets)
-        for i in np.flatnonzero(want):
-            c = int(content[i])
-            if c in done:
-                continue
-            done.add(c)
-            s, e = int(r.start[i]), int(r.last[i])
-            if int(flag[i]) & SPLIT:  # the prefix becomes the whole window, and tells the bucket
-                for j in range(s, e + 1):
-                    piece = data[places[j] : places[j + kind.length]]
-                    to = hash_bytes(piece) % buckets
-                    sent.setdefault(to, []).append((c, int(ids[i]), j - s, 1, piece))
-            else:
-                sent.setdefault(int(where[i]), []).append((c, int(ids[i]), 0, e - s + 1, data[places[s] : places[e + kind.length]]))
+    for c, f, d, s, e, to, part in zip(*(x.tolist() for x in (block.contents[wanted], flag[wanted], block.doc[runs], block.start[runs], block.last[runs], where, slice_of)), strict=True):
+        _, _, _, places, data = block.parts[part]
+        if f & SPLIT:  # the prefix becomes the whole window, and tells the bucket
+            for j in range(s, e + 1):
+                piece = data[places[j] : places[j + kind.length]]
+                sent.setdefault(hash_bytes(piece) % buckets, []).append((c, d, j - s, 1, piece))
+        else:
+            sent.setdefault(to, []).append((c, d, 0, e - s + 1, data[places[s] : places[e + kind.length]]))
     out = []
     for to, items in sent.items():
         c, d, shift, n, pieces = zip(*items, strict=True)
@@ -290,25 +277,24 @@ def removed(rows: pa.Table, answers: pa.Table, kind: Kind) -> Iterator[tuple[int
     keys, flags = known(answers, 1, [CONTENT_W, 1])
     keys2, shifts, masks = known(answers, 2, [CONTENT_W, 1, 8])
     block = Block(rows, kind)
-    _, contents, least, counts = block.distinct()
-    for a, b, r, first, _, _ in block.runs():
+    every = block.flags(keys, flags)[block.own] & np.uint64(ALL) > 0
+    every |= block.doc > block.least[block.own] if kind.mode == "earlier" else block.count[block.own] > 1
+    # Of each told content the windows that repeat, from its first: one bit each.
+    bits = np.zeros(len(block.contents), np.uint64)
+    if len(keys2):
+        np.bitwise_or.at(bits, np.searchsorted(block.contents, keys2), masks << shifts)
+    for (a, b, first, _, _), lo, hi in zip(block.parts, block.edges[:-1], block.edges[1:], strict=True):
         n = int(first[-1])
         edge = np.zeros(n + 1, np.int64)
-        content = low(r.content, CONTENT_W)
-        own = np.searchsorted(contents, content)
-        every = flags_of(content, keys, flags) & np.uint64(ALL) > 0
-        every |= block.ids[a + r.doc] > least[own] if kind.mode == "earlier" else counts[own] > 1
-        np.add.at(edge, r.start[every], 1)
-        np.add.at(edge, r.last[every] + kind.length, -1)
-        at, to = look_up(keys2, content)
-        for i in np.flatnonzero(~every & (to > at)):
-            for j in range(at[i], to[i]):
-                m, s = int(masks[j]), int(r.start[i]) + int(shifts[j])
-                while m:
-                    bit = (m & -m).bit_length() - 1
-                    edge[s + bit] += 1
-                    edge[s + bit + kind.length] -= 1
-                    m &= m - 1
+        start, last, whole = block.start[lo:hi], block.last[lo:hi], every[lo:hi]
+        np.add.at(edge, start[whole], 1)
+        np.add.at(edge, last[whole] + kind.length, -1)
+        some = bits[block.own[lo:hi]]
+        some[whole] = 0
+        for bit in range(kind.length - kind.k + 1):
+            s = start[some >> np.uint64(bit) & np.uint64(1) > 0] + bit
+            np.add.at(edge, s, 1)
+            np.add.at(edge, s + kind.length, -1)
         covered = np.cumsum(edge)[:-1] > 0
         for d in range(a, b):
             yield d, block.texts[d], covered[first[d - a] : first[d - a + 1]]

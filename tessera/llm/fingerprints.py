@@ -8,8 +8,8 @@ import numpy as np
 
 #: Odd multiplier of the polynomial fingerprint, arithmetic is modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Symbols handled at once; positions of a slice fit in 24 bits.
-SLICE = 2_000_000
+#: Bytes of text handled at once; positions of a slice fit in 24 bits.
+SLICE = 500_000
 PLACE = np.uint64((1 << 24) - 1)
 
 
