@@ -97,7 +97,7 @@ class Runs:
         self.start, self.last = np.flatnonzero(begins), np.flatnonzero(ends)
         self.anchor = anchor[self.start]
         self.doc = doc[self.start]
-        self.group = grams[self.anchor]
+        self.group = mix(grams[self.anchor] + np.uint64(BASE))  # anchors have small hashes; groups should spread evenly
         whole = mix(seq.of(self.start, self.last + length))
         shape = ((self.anchor - self.start) << 20 | (self.last - self.start)).astype(np.uint64)
         self.content = mix(whole + mix(self.group ^ mix(shape + np.uint64(1))))
