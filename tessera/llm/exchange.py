@@ -33,6 +33,8 @@ from .fingerprints import SLICE, Runs
 #: Bytes of input files in a block, and contents of one anchor beyond which its windows travel one by one.
 BLOCK_BYTES, GROUP_LIMIT = 2 << 20, 20_000
 ALL, NEED, SPLIT = 1, 2, 4
+#: Added to the documents; a name that their own columns won't have.
+BLOCK = "__block"
 LAST_DOC = np.iinfo(np.int64).max
 
 
@@ -132,7 +134,7 @@ def one_round(rows: pa.Table, kind: Kind, buckets: int) -> pa.Table:
     """Messages of round 1: each different content of a block, by bucket of its anchor."""
     held = Block(rows, kind)
     group, content, least, count = held.group[held.first_run], held.contents, held.least, held.count
-    block = rows.column("block")[0].as_py()
+    block = rows.column(BLOCK)[0].as_py()
     where = bucket_of(group, buckets)
     order = np.lexsort((low(group, GROUP_W), where))
     group, content, where = group[order], content[order], where[order]
@@ -213,7 +215,7 @@ def two_round(rows: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa
     if not len(keys) or not rows.num_rows:
         return table([], TWO)
     block = Block(rows, kind)
-    number = rows.column("block")[0].as_py()
+    number = rows.column(BLOCK)[0].as_py()
     flag = block.flags(keys, flags)
     wanted = np.flatnonzero(flag & np.uint64(NEED) > 0)
     runs = block.first_run[wanted]
@@ -303,15 +305,15 @@ def removed(rows: pa.Table, answers: pa.Table, kind: Kind) -> Iterator[tuple[int
 def find_repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, Iterator], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of finish(rows of a block, their covered symbols), for docs with doc_id long and text string."""
     n = block_count(docs, block_bytes)
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    blocks = docs.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     mode = kind.mode
-    sent = blocks.groupBy("block").applyInArrow(lambda t: one_round(t, kind, n), ddl(ONE))
+    sent = blocks.groupBy(BLOCK).applyInArrow(lambda t: one_round(t, kind, n), ddl(ONE))
     first = sent.groupBy("bucket").applyInArrow(lambda t: answer_one(t, mode), ddl(ANSWER))
-    asked = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: two_round(t, a, kind, n), ddl(TWO))
+    asked = blocks.groupBy(BLOCK).cogroup(first.groupBy("block")).applyInArrow(lambda t, a: two_round(t, a, kind, n), ddl(TWO))
     second = asked.groupBy("bucket").applyInArrow(lambda t: answer_two(t, kind), ddl(ANSWER))
     answers = first.unionByName(second)
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
         return finish(t, removed(t, a, kind))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    return blocks.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(last, schema)

@@ -64,9 +64,16 @@ def op9_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
