@@ -11,7 +11,10 @@ link if their sets' overlap reaches ceil(0.8 / 1.8 * (|x| + |y|)).
    make a candidate alone. Only short lists are sent, by bucket of their shingle, once for each
    class and block of documents. A list's members (cut where sizes are too far apart to
    link) all meet at the list's centre, its smallest class.
-3. Members send their sets to the centres. There each set searches the others: the short lists
+3. Members first send the centres a bitmap of their set, some 3 bits for each element. Two sets differ in
+   at least as many elements as their bitmaps in bits, so the centre knows without error who
+   can't link to any other (documents that share one passage, say), and asks the rest for their sets.
+   Each set then searches the others: the short lists
    of the group are merged and counted, candidates that may still reach T are probed in the
    long lists by binary search, and members already connected are skipped. What leaves is
    a spanning forest, not pairs. A centre with more than TILE members is split into tiles, and
@@ -111,8 +114,7 @@ class Sets:
             at = np.searchsorted(hot, gram)
             late = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == gram) if len(hot) else np.zeros(len(gram), bool)
             gram = np.where(late, gram | TOP, gram)
-            order = np.lexsort((gram, doc))
-            gram = gram[order]
+            gram = gram[np.argsort(2 * doc + late, kind="stable")]  # sorted runs: the hot ones only move behind the others
             for d, piece in zip(np.unique(doc), np.split(gram, np.flatnonzero(np.diff(doc)) + 1), strict=True):
                 held.setdefault(int(cls[d]), piece)
             start = stop
@@ -121,7 +123,7 @@ class Sets:
 
 ONE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
 ASK = pa.schema([("block", pa.int32()), ("payload", pa.binary())])
-TWO = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
+TWO = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -177,27 +179,98 @@ def centres(rows: pa.Table) -> pa.Table:
     return table(out, ASK)
 
 
-def send_sets(rows: pa.Table, asked: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
-    """The sets of a block that were asked for, to their centres."""
-    if not asked.num_rows or not rows.num_rows:
+def told(answers: pa.Table, widths: list[int]) -> list[tuple[int, ...]]:
+    parts = [np.stack(unplanes(p, widths)) for p in answers.column("payload").to_pylist()]
+    return sorted(set(zip(*np.concatenate(parts, axis=1).tolist(), strict=True))) if parts else []
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of n elements: the power of two from 4n up, 64 at least."""
+    return max(64, 1 << (4 * n - 1).bit_length())
+
+
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    width = width_of(len(elements))
+    at = (mix(elements) & np.uint64(width - 1)).astype(np.int64)
+    flags = np.zeros(width, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little").view("<u8")
+
+
+def send_sketches(rows: pa.Table, asked: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
+    """The bitmaps of a block's asked sets, to their centres."""
+    wanted = told(asked, [8, 8, 4])
+    if not wanted or not rows.num_rows:
         return table([], TWO)
-    told = np.concatenate([np.stack(unplanes(p, [8, 8, 4])) for p in asked.column("payload").to_pylist()], axis=1)
     sets = Sets(rows, hot).sets
+    block = rows.column("block")[0].as_py()
+    maps: dict[int, bytes] = {}
     sent: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
-    for c, centre, tiles in sorted(set(zip(*told.tolist(), strict=True))):
-        data = sets[c].astype("<u8").tobytes()
+    for c, centre, tiles in wanted:
+        if c not in maps:
+            maps[c] = bitmap(sets[c]).tobytes()
         own = c % tiles
         for other in range(tiles):
             i, j = sorted((own, other))
             key = int(mix(np.array([centre + (tiles << 40) + (i << 20) + j & (1 << 64) - 1], np.uint64))[0])
-            sent[key % buckets].append((key, c, len(sets[c]), data))
+            sent[key % buckets].append((key, c, len(sets[c]), maps[c]))
+    return message(sent, block)
+
+
+def message(sent: dict[int, list[tuple[int, int, int, bytes]]], block: int) -> pa.Table:
     out = []
     for to, items in sent.items():
         keys, cls, n, data = zip(*items, strict=True)
-        out.append((to, planes([(np.array(keys, np.uint64), 8), (np.array(cls, np.uint64), 8), (np.array(n, np.uint64), 3)]), b"".join(data)))
+        out.append((to, block, planes([(np.array(keys, np.uint64), 8), (np.array(cls, np.uint64), 8), (np.array(n, np.uint64), 3)]), b"".join(data)))
     return table(out, TWO)
 
 
+def near(rows: pa.Table) -> pa.Table:
+    """Tells the blocks which sets may link to another at their centre: (class, key of the centre)."""
+    groups: dict[int, dict[int, tuple[int, np.ndarray, int]]] = defaultdict(dict)
+    for block, keys, data in zip(rows.column("block").to_pylist(), rows.column("keys").to_pylist(), rows.column("sets").to_pylist(), strict=True):
+        at = 0
+        for k, c, n in zip(*(x.tolist() for x in unplanes(keys, [8, 8, 3])), strict=True):
+            size = width_of(n) // 8
+            groups[k][c] = (n, np.frombuffer(data, "<u8", size // 8, at), block)
+            at += size
+    told: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for key, members in groups.items():
+        names = sorted(members, key=lambda c: members[c][0])
+        n = np.array([members[c][0] for c in names], np.int64)
+        widths = np.array([width_of(int(x)) for x in n], np.int64)
+        far = np.searchsorted(100 * n, PERCENT * n)  # the first that is large enough for each
+        hit = np.zeros(len(names), bool)
+        for w in np.unique(widths):  # compared at half the larger one's width, or 64 bits
+            half = max(64, int(w) // 2)
+            lo, hi = np.searchsorted(widths, half), np.searchsorted(widths, w, "right")
+            folded = np.stack([np.bitwise_or.reduce(members[c][1].reshape(-1, half // 64), axis=0) for c in names[lo:hi]])
+            for i in range(max(lo, int(np.searchsorted(widths, w))), hi):
+                a = max(lo, int(far[i]))
+                if a < i:
+                    apart = np.bitwise_count(folded[a - lo : i - lo] ^ folded[i - lo]).sum(axis=1)
+                    both = n[a:i] + n[i]
+                    can = apart <= both - 2 * -(-both * PERCENT // (100 + PERCENT))
+                    if can.any():
+                        hit[i] = True
+                        hit[a:i] |= can
+        for i in np.flatnonzero(hit):
+            told[members[names[i]][2]].append((names[i], key))
+    return table([(b, planes([(np.array(x, np.uint64), 8) for x in zip(*items, strict=True)])) for b, items in told.items()], ASK)
+
+
+def send_sets(rows: pa.Table, asked: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
+    """The sets of a block that may link, to their centres."""
+    wanted = told(asked, [8, 8])
+    if not wanted or not rows.num_rows:
+        return table([], TWO)
+    sets = Sets(rows, hot).sets
+    sent: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
+    for c, key in wanted:
+        sent[key % buckets].append((key, c, len(sets[c]), sets[c].astype("<u8").tobytes()))
+    return message(sent, rows.column("block")[0].as_py())
+
+
 def t_occurrence(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links among sorted sets."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -296,7 +369,9 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limi
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     lists = blocks.groupBy("block").applyInArrow(lambda t: send_lists(t, hot, n), ddl(ONE))
     asked = lists.groupBy("bucket").applyInArrow(centres, ddl(ASK))
-    sets = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: send_sets(t, a, hot, n), ddl(TWO))
+    sketches = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: send_sketches(t, a, hot, n), ddl(TWO))
+    close = sketches.groupBy("bucket").applyInArrow(near, ddl(ASK))
+    sets = blocks.groupBy("block").cogroup(close.groupBy("block")).applyInArrow(lambda t, a: send_sets(t, a, hot, n), ddl(TWO))
     links = materialize(sets.groupBy("bucket").applyInArrow(link, ddl(LINK)), f"{at}/links")
     labels = components(links, at)
 
