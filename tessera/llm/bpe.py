@@ -31,7 +31,7 @@ INF = np.int64(1 << 40)
 #: White space as the splitting patterns of the tokenizer files see it (fixed values).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct words remembered by a worker; beyond it the memory starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:

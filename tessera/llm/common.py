@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -49,12 +50,12 @@ def materialize(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts together stay near SLICE_CHARS bytes."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts together stay near limit bytes."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
-        if held and held + size > SLICE_CHARS:
+        if held and held + size > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
@@ -62,6 +63,15 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def tidy() -> None:
+    """Give freed memory of a Python worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def same_document(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys where null equals null; the right side's keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

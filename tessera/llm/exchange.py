@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count
+from .common import block_count, tidy
 from .fingerprints import SLICE, Runs
 
 #: Bytes of input files in a block, and contents of one anchor beyond which its windows travel one by one.
@@ -155,6 +155,7 @@ TWO = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("heads", pa.bin
 
 
 def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    tidy()
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, Tokenizer, load
-from .common import slices
+from .common import slices, tidy
 
 #: word -> (ids, decoded) of the worker's current tokenizer
 _words: dict[tuple[str, str], dict[str, str]] = {}
@@ -30,12 +31,19 @@ def learn(tok: Tokenizer, memory: dict[str, tuple[str, str]], lists: list[list[s
         memory[word] = (" ".join(map(str, ids)), tok.decode_words(ids))
 
 
+def numbers(lines: list[str], counts: list[int]) -> pa.Array:
+    """The ids of each line as a list column."""
+    flat = np.fromstring(" ".join(x for x in lines if x), np.int32, sep=" ")
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterator[pa.RecordBatch]:
     tok = load(path)
     memory = _words.setdefault((path, "words"), {})
+    tidy()
     glue = "" if tok.byte_decoder else " "
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2_000_000):
             pieces = [tok.segments(t or "") for t in part.column("text").to_pylist()]
             words = [[tok.pretokens(s) if i is None else (s, i) for s, i in doc] for doc in pieces]
             learn(tok, memory, [w for doc in words for w in doc if isinstance(w, list)])
@@ -52,7 +60,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, texts: bool) ->
             columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in v], pa.string()) for v in (ids, decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if texts:
-                columns += [pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns += [numbers(ids, counts), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 

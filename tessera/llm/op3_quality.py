@@ -26,6 +26,8 @@ from .common import slices
 
 #: Words of the shortest repeat that counts, percent covered allowed, words and percent of the longest repeat.
 MIN_REPEAT, MAX_COVERED, LONG_WORDS, LONG_PERCENT = 10, 15, 50, 10
+#: Bytes of text ranked together.
+SLICE = 1_000_000
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 NO_SPACE = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 
@@ -117,7 +119,7 @@ def measures(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> dict[str,
 def judge(batches: Iterator[pa.RecordBatch], limits: tuple[int, int, int, int], keep: list[str] | None) -> Iterator[pa.RecordBatch]:
     min_repeat, max_covered, long_words, long_percent = limits
     for batch in batches:
-        for part in slices(batch, "__text"):
+        for part in slices(batch, "__text", SLICE):
             m = measures(part.column("__text").to_pylist(), min_repeat)
             n = m["n_words"]
             failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)

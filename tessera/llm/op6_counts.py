@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, load
-from .common import slices
+from .common import slices, tidy
 
 _pieces: dict[str, dict[str, int]] = {}
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
+    tidy()
     tok = load(path)
     pieces = _pieces.setdefault(path, {})
     for batch in batches:
@@ -40,7 +41,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> I
                         extra += 1
                 frequencies.append(freq)
                 special.append(extra)
-            if len(pieces) > 2 * CACHE_WORDS:
+            if len(pieces) > 4 * CACHE_WORDS:
                 pieces.clear()
             new = list(set().union(*frequencies).difference(pieces))
             pieces.update(zip(new, map(len, tok.merges.encode_words(new)), strict=True))
