@@ -164,14 +164,7 @@ def context_frames(d: Spark) -> str:
 
 
 def scenes(d: Spark) -> str:
-    """A new scene after a gap of five seconds or 200 cues."""
-    w = "OVER (PARTITION BY source_id ORDER BY ordinal)"
-    return (
-        f"WITH {P.cues(d)}, gapped AS (SELECT source_id, ordinal, start_ms, end_ms, CASE WHEN start_ms - lag(end_ms) {w} >= 5000 THEN 1 ELSE 0 END AS cut FROM cues),"
-        f" grouped AS (SELECT *, sum(cut) {w} AS g FROM gapped), ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, g ORDER BY ordinal) AS r FROM grouped),"
-        f" placed AS (SELECT source_id, ordinal, start_ms, end_ms, dense_rank() OVER (PARTITION BY source_id ORDER BY g, {d.div('r - 1', '200')}) AS scene FROM ranked)"
-        f" SELECT source_id, CAST(scene AS BIGINT) AS scene, min(ordinal) AS first_cue, count(*) AS n_cues, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM placed GROUP BY source_id, scene"
-    )
+    return f"WITH {P.scenes_of(d)} SELECT source_id, scene, first_cue, n_cues, start_ms, end_ms FROM scenes"
 
 
 def tagged(d: Spark) -> str:
@@ -208,7 +201,7 @@ def chains(d: Spark) -> str:
         f"WITH {tagged(d)}, flagged AS (SELECT source_id, ordinal, (join_like OR ellipsis_or_interruption) AS f FROM tagged), islands AS (SELECT source_id, ordinal, f, ordinal - row_number() OVER (PARTITION BY source_id, f ORDER BY ordinal) AS g FROM flagged),"
         f" runs AS (SELECT source_id, min(ordinal) AS first_boundary, count(*) AS n FROM islands WHERE f GROUP BY source_id, g HAVING count(*) >= 3)"
         f" SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY first_boundary) AS BIGINT) AS chain, first_boundary, n FROM runs"
-    ).replace(w, w)
+    )
 
 
 def stratum_counts(d: Spark) -> str:

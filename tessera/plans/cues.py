@@ -13,10 +13,10 @@ CONFIG_JOIN = {"normal": 0.50, "medium": 0.20, "large": 0.05, "extreme": 0.05}
 
 def cues(d: Spark) -> str:
     """Six-word pieces of the documents' lines: source_id, lang, ordinal, cue, start_ms, end_ms."""
-    line_words = d.split("trim(l)", "[ ]+")
-    pieces = d.transform(d.upto(f"{d.div(f'{d.size(line_words)} - 1', '6')} + 1"), "i", d.join(d.slice(line_words, "i * 6 + 1", "6"), " "))
     lines = d.filter(d.split("text", r"\n"), "l", "trim(l) <> ''")
-    nested = d.transform(lines, "l", pieces)
+    words = d.transform(lines, "l", d.split("trim(l)", "[ ]+"))  # split once a line, then cut
+    pieces = d.transform(d.upto(f"{d.div(f'{d.size(chr(119))} - 1', '6')} + 1"), "i", d.join(d.slice("w", "i * 6 + 1", "6"), " "))
+    nested = d.transform(words, "w", pieces)
     gap = d.item(d.array(*map(str, GAPS)), f"1 + {d.mod('source_id * 7 + ordinal * 13', str(len(GAPS)))}")
     inner = d.unnest("c", "source_id, lang", f"(SELECT doc_id AS source_id, lang, flatten({nested}) AS c FROM documents)", "ordinal", "cue")
     return (
@@ -99,3 +99,14 @@ def sentences(d: Spark) -> str:
         f" sentences AS (SELECT source_id, sentence_id, min(start_ms) AS start_ms, {d.greatest_by('end_ms', 'ordinal')} AS end_ms, count(*) AS n_cues, min(ordinal) AS first_ordinal,"
         f" {d.listagg('concat(sep, cue)', '', 'ordinal')} AS sentence FROM parts GROUP BY source_id, sentence_id)"
     )
+
+
+def scenes_of(d: Spark) -> str:
+    """Scenes of a source: a new one after a gap of five seconds or 200 cues."""
+    w = "OVER (PARTITION BY source_id ORDER BY ordinal)"
+    return (
+        f"{cues(d)}, gapped AS (SELECT source_id, ordinal, start_ms, end_ms, CASE WHEN start_ms - lag(end_ms) {w} >= 5000 THEN 1 ELSE 0 END AS cut FROM cues),"
+        f" grouped AS (SELECT *, sum(cut) {w} AS g FROM gapped), ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, g ORDER BY ordinal) AS r FROM grouped),"
+        f" placed AS (SELECT source_id, ordinal, start_ms, end_ms, dense_rank() OVER (PARTITION BY source_id ORDER BY g, {d.div('r - 1', '200')}) AS scene FROM ranked),"
+        f" scenes AS (SELECT source_id, CAST(scene AS BIGINT) AS scene, min(ordinal) AS first_cue, count(*) AS n_cues, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM placed GROUP BY source_id, scene)"
+    )

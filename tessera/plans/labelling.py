@@ -1 +1,203 @@
-PLANS = ()
+"""Plans for the labelling workflow: ledger, review state, queues, metrics, maturity, sampling."""
+
+from __future__ import annotations
+
+from ..functions.dialect import Spark
+from .cues import boundaries, decisions, scenes_of, timing_band
+from .similarity import ratio
+
+LABELS = ("JOIN", "BREAK", "AMBIGUOUS")
+
+
+def pick(d: Spark, key: str, values: tuple[str, ...]) -> str:
+    return d.item(d.array(*(f"'{v}'" for v in values)), f"1 + {d.mod(key, str(len(values)))}")
+
+
+def ledger(d: Spark) -> str:
+    """The events table read as an append-only review ledger; event_id is the order of events."""
+    return (
+        "ledger AS (SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN 'adjudication' ELSE 'review' END AS event_type, concat('b', CAST(user_id % 97 AS VARCHAR(9))) AS boundary_id,"
+        f" CAST(user_id % 97 AS BIGINT) AS b, concat('rv', CAST({d.div('event_id', '2')} + event_id % 2 * 100000 AS VARCHAR(12))) AS review_id, {pick(d, 'event_id * 7 + user_id', ('ana', 'ben', 'cruz', 'dia'))} AS reviewer,"
+        f" CAST(1 + event_id % 2 AS BIGINT) AS round, {pick(d, 'event_id * 5 + user_id * 3', (*LABELS, 'JOIN', 'MAYBE'))} AS label, {pick(d, 'event_id * 3', ('high', 'medium', 'low'))} AS confidence,"
+        " CASE WHEN event_id % 41 = 0 THEN '' ELSE event_type END AS reason, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'human' END AS origin FROM events)"
+    )
+
+
+ROW_RULES = (
+    ("label", "label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS')"),
+    ("reason", "trim(reason) = ''"),
+    ("origin", "origin NOT IN ('human', 'silver')"),
+    ("round", "round NOT IN (1, 2)"),
+    ("confidence", "confidence NOT IN ('high', 'medium', 'low')"),
+)
+
+
+def ledger_errors(d: Spark) -> str:
+    """Row rules, one row for each broken one, and rules across a boundary's events."""
+    rows = " UNION ALL ".join(f"SELECT boundary_id, seq, '{n}' AS error FROM ledger WHERE {c}" for n, c in ROW_RULES)
+    if d.name == "spark":  # one pass over the ledger
+        flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ROW_RULES)
+        rows = f"SELECT boundary_id, seq, error FROM (SELECT boundary_id, seq, explode(array_compact(array({flags}))) AS error FROM ledger) x"
+    across = (
+        "SELECT boundary_id, max(seq) AS seq, 'same reviewer twice in a round' AS error FROM ledger WHERE event_type = 'review' GROUP BY boundary_id, reviewer, round HAVING count(*) > 1"
+        " UNION ALL SELECT boundary_id, max(seq) AS seq, 'round 2 without round 1' AS error FROM ledger WHERE event_type = 'review' GROUP BY boundary_id HAVING max(round) = 2 AND min(round) = 2"
+        " UNION ALL SELECT boundary_id, max(seq) AS seq, 'adjudication without two labels' AS error FROM ledger GROUP BY boundary_id"
+        " HAVING sum(CASE WHEN event_type = 'adjudication' THEN 1 ELSE 0 END) > 0 AND count(DISTINCT CASE WHEN event_type = 'review' THEN label END) < 2"
+    )
+    return f"WITH {ledger(d)} SELECT boundary_id, seq, error FROM ({rows}) r UNION ALL SELECT boundary_id, seq, error FROM ({across}) a"
+
+
+def states(d: Spark) -> str:
+    """The last adjudication wins; else the latest review of each reviewer, agreement or AMBIGUOUS."""
+    latest = "row_number() OVER (PARTITION BY boundary_id, event_type, CASE WHEN event_type = 'review' THEN reviewer END ORDER BY seq DESC)"
+    return (
+        f"{ledger(d)}, newest AS (SELECT * FROM (SELECT *, {latest} AS r FROM ledger WHERE label <> 'MAYBE') a WHERE r = 1), summed AS (SELECT boundary_id,"
+        f" max(CASE WHEN event_type = 'adjudication' THEN label END) AS ruled, count(CASE WHEN event_type = 'review' THEN 1 END) AS reviewer_count,"
+        f" count(DISTINCT CASE WHEN event_type = 'review' THEN label END) AS n_labels, max(CASE WHEN event_type = 'review' THEN label END) AS one_label,"
+        f" max(CASE WHEN event_type = 'review' AND confidence = 'low' THEN 1 ELSE 0 END) AS low FROM newest GROUP BY boundary_id),"
+        f" states AS (SELECT boundary_id, CASE WHEN ruled IS NOT NULL THEN ruled WHEN reviewer_count = 1 THEN one_label WHEN n_labels = 1 AND low = 0 THEN one_label ELSE 'AMBIGUOUS' END AS gold_label,"
+        f" reviewer_count, ruled IS NULL AND (reviewer_count = 1 OR n_labels > 1) AS needs_second_review, CASE WHEN ruled IS NOT NULL THEN 'adjudicated' WHEN reviewer_count = 1 THEN 'single'"
+        f" WHEN n_labels = 1 THEN 'agreed' ELSE 'disputed' END AS review_status FROM summed)"
+    )
+
+
+def review_state(d: Spark) -> str:
+    return f"WITH {states(d)} SELECT boundary_id, gold_label, reviewer_count, needs_second_review, review_status FROM states"
+
+
+def label_origin_errors(d: Spark) -> str:
+    return f"WITH {ledger(d)} SELECT boundary_id, origin, count(*) AS n, min(seq) AS first_seq FROM ledger WHERE origin <> 'human' GROUP BY boundary_id, origin"
+
+
+CANDIDATES = "candidates AS (SELECT concat('b', CAST(doc_id % 131 AS VARCHAR(9))) AS boundary_id, min(source) AS source, min(doc_id) AS cue FROM documents GROUP BY concat('b', CAST(doc_id % 131 AS VARCHAR(9))))"
+
+
+def round1_queue(d: Spark) -> str:
+    """Candidates that nobody has reviewed, dealt round-robin over sources; ranks are set before the filter, so batches never shift."""
+    return (
+        f"WITH {ledger(d)}, {CANDIDATES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cue, boundary_id) AS rn FROM candidates),"
+        f" placed AS (SELECT *, row_number() OVER (ORDER BY rn, source) AS place FROM ranked)"
+        f" SELECT p.boundary_id, p.source, CAST(p.place AS BIGINT) AS place, CAST({d.div('p.place - 1', '25')} AS BIGINT) AS batch FROM placed p LEFT ANTI JOIN ledger l ON l.boundary_id = p.boundary_id"
+    ).replace("LEFT ANTI JOIN", "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN")
+
+
+def round2_queue(d: Spark) -> str:
+    """First reviewed by another reviewer and not yet by ana; doubtful labels first, a fifth of all."""
+    tier = "CASE WHEN label = 'JOIN' AND confidence = 'medium' THEN 0 WHEN label = 'JOIN' AND confidence = 'low' THEN 1 WHEN confidence = 'low' THEN 2 ELSE 3 END"
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    return (
+        f"WITH {ledger(d)}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id ORDER BY seq) AS r FROM ledger WHERE event_type = 'review' AND round = 1) a WHERE r = 1 AND reviewer <> 'ana'),"
+        f" own AS (SELECT DISTINCT boundary_id FROM ledger WHERE reviewer = 'ana' AND seq % 97 = 0), ruled AS (SELECT DISTINCT boundary_id FROM ledger WHERE event_type = 'adjudication' AND seq % 500 = 9),"
+        f" open AS (SELECT f.boundary_id, f.b, {tier} AS tier FROM firsts f {anti} own o ON o.boundary_id = f.boundary_id {anti} ruled u ON u.boundary_id = f.boundary_id),"
+        f" ordered AS (SELECT boundary_id, tier, row_number() OVER (ORDER BY tier, b) AS place, count(*) OVER () AS n FROM open)"
+        f" SELECT boundary_id, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place FROM ordered WHERE place <= greatest(1, ceil(n * 0.2))"
+    )
+
+
+def queue_content_hash(d: Spark) -> str:
+    """Rows as JSON in order, with the separators that hashes are taken over."""
+    row = """concat('{"boundaryId": "', boundary_id, '", "cue": ', CAST(cue AS VARCHAR(20)), ', "source": "', source, '"}')"""
+    return (
+        f"WITH {CANDIDATES}, rows_of AS (SELECT source, boundary_id, cue, {row} AS line FROM candidates)"
+        f" SELECT source, count(*) AS row_count, {d.sha256('concat(' + repr('[') + ', ' + d.listagg('line', ', ', 'cue') + ', ' + repr(']') + ')')} AS content_sha256 FROM rows_of GROUP BY source"
+    )
+
+
+def judged(d: Spark) -> str:
+    """Decisions against synthetic gold labels, one row for each (left, right, gap), the first one kept."""
+    gold = d.mod("ordinal * 3 + gap_ms", "7")
+    return (
+        f"{decisions(d)}, cases AS (SELECT lcue, rcue, gap_ms, lang, band, upper(decision) AS predicted, CASE WHEN {gold} < 2 THEN 'JOIN' WHEN {gold} = 6 THEN 'AMBIGUOUS' ELSE 'BREAK' END AS expected,"
+        f" row_number() OVER (PARTITION BY lcue, rcue, gap_ms ORDER BY source_id, ordinal) AS r FROM decisions), kept AS (SELECT * FROM cases WHERE r = 1 AND expected <> 'AMBIGUOUS')"
+    )
+
+
+def metrics() -> str:
+    def count(c: str) -> str:
+        return f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+
+    hit, said, due = count("predicted = 'JOIN' AND expected = 'JOIN'"), count("predicted = 'JOIN'"), count("expected = 'JOIN'")
+    held, breaks = count("predicted <> 'JOIN' AND expected = 'BREAK'"), count("expected = 'BREAK'")
+    return (
+        f"count(*) AS n, {ratio(hit, said)} AS join_precision, {ratio(hit, due)} AS join_recall, {ratio(held, breaks)} AS break_accuracy,"
+        f" {count(chr(112) + 'redicted = ' + repr('JOIN') + ' AND expected = ' + repr('BREAK'))} AS false_merges, {due} - {hit} AS missed_joins"
+    )
+
+
+def boundary_metrics(d: Spark) -> str:
+    return f"WITH {judged(d)} SELECT {metrics()} FROM kept"
+
+
+def stratified_metrics(d: Spark) -> str:
+    return f"WITH {judged(d)} SELECT coalesce(lang, '*') AS lang, coalesce(band, '*') AS band, {metrics()} FROM kept GROUP BY GROUPING SETS ((lang), (band), (lang, band), ())"
+
+
+def cohen_kappa(d: Spark) -> str:
+    return (
+        "WITH pairs AS (SELECT CAST(quality AS BIGINT) AS a, CAST(toxic AS BIGINT) AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), s AS (SELECT count(*) AS n, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS DOUBLE) AS same,"
+        " CAST(sum(a) AS DOUBLE) AS sa, CAST(sum(b) AS DOUBLE) AS sb FROM pairs), e AS (SELECT n, same / n AS po, (sa / n) * (sb / n) + (1 - sa / n) * (1 - sb / n) AS pe FROM s)"
+        " SELECT n, round(po, 6) AS agreement, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM e"
+    )
+
+
+def maturity_level(d: Spark) -> str:
+    """The ladder none, exploratory, usable, validated; validated is asked first."""
+    return (
+        f"WITH {states(d)}, t AS (SELECT count(CASE WHEN gold_label IS NOT NULL THEN 1 END) AS labelled, count(CASE WHEN gold_label = 'JOIN' THEN 1 END) AS joins, count(CASE WHEN gold_label = 'BREAK' THEN 1 END) AS breaks,"
+        f" count(CASE WHEN reviewer_count >= 2 THEN 1 END) AS twice, count(CASE WHEN review_status = 'disputed' THEN 1 END) AS disputed FROM states)"
+        f" SELECT labelled, joins, breaks, twice, disputed, {ratio('twice', 'labelled')} AS second_review_share, CASE WHEN labelled >= 200 AND joins >= 40 AND breaks >= 40 AND 5 * twice >= labelled AND disputed = 0 THEN 'validated'"
+        f" WHEN labelled >= 100 AND joins >= 20 AND breaks >= 20 THEN 'usable' WHEN labelled >= 20 THEN 'exploratory' ELSE 'none' END AS maturity FROM t"
+    )
+
+
+def operational_readiness(d: Spark) -> str:
+    """Gates as booleans: unique keys, known sources, no orphan events, valid labels."""
+    return (
+        f"WITH {ledger(d)}, {CANDIDATES}, c AS (SELECT count(*) AS n, count(DISTINCT boundary_id) AS keys, count(DISTINCT source) AS sources, sum(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS unknown FROM candidates),"
+        f" o AS (SELECT count(*) AS orphans FROM ledger l LEFT JOIN candidates k ON k.boundary_id = l.boundary_id WHERE k.boundary_id IS NULL), v AS (SELECT sum(CASE WHEN label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS') THEN 1 ELSE 0 END) AS bad FROM ledger)"
+        f" SELECT n, n = keys AS unique_keys, sources >= 3 AS enough_sources, unknown = 0 AS known_sources, orphans = 0 AS no_orphans, bad = 0 AS valid_labels FROM c CROSS JOIN o CROSS JOIN v"
+    )
+
+
+def source_manifest_check(d: Spark) -> str:
+    """Sources of the documents against those of a manifest: missing, unregistered, different counts."""
+    return (
+        "WITH files AS (SELECT source, count(*) AS n FROM documents GROUP BY source), manifest AS (SELECT source, n + CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS n FROM files WHERE source <> 'src5' UNION ALL SELECT 'src99', 1)"
+        " SELECT coalesce(f.source, m.source) AS source, f.n AS found, m.n AS expected, CASE WHEN m.source IS NULL THEN 'unregistered' WHEN f.source IS NULL THEN 'missing' WHEN f.n <> m.n THEN 'count' ELSE 'ok' END AS status"
+        " FROM files f FULL JOIN manifest m ON m.source = f.source"
+    )
+
+
+def quota_sample(d: Spark) -> str:
+    """Up to 40 boundaries of each timing band and language, in the order of a hash: same rows on every run."""
+    order = d.sha256("concat('42:', CAST(source_id AS VARCHAR(20)), ':', CAST(ordinal AS VARCHAR(20)))")
+    return (
+        f"WITH {boundaries(d)}, bands AS (SELECT source_id, ordinal, lang, {timing_band('gap_ms')} AS timing_band FROM boundaries), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, timing_band ORDER BY {order}) AS r FROM bands)"
+        f" SELECT source_id, ordinal, lang, timing_band, CAST(r AS BIGINT) AS pick FROM ranked WHERE r <= 40"
+    )
+
+
+def scene_split(d: Spark) -> str:
+    """Whole scenes go to dev or test, near 70 % of the cues of each source: by running share in hash order."""
+    order = d.sha256("concat('42:', CAST(source_id AS VARCHAR(20)), ':', CAST(scene AS VARCHAR(20)))")
+    w = f"OVER (PARTITION BY source_id ORDER BY {order})"
+    return (
+        f"WITH {scenes_of(d)}, shares AS (SELECT source_id, scene, n_cues, sum(n_cues) {w} - n_cues AS before, sum(n_cues) OVER (PARTITION BY source_id) AS total FROM scenes)"
+        f" SELECT source_id, scene, n_cues, CASE WHEN before < 0.7 * total THEN 'dev' ELSE 'test' END AS split FROM shares"
+    )
+
+
+def append_ledger(d: Spark) -> str:
+    """New events joined to the old: those whose review is known, or repeats a reviewer and round, stay out."""
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    return (
+        f"WITH {ledger(d)}, old AS (SELECT * FROM ledger WHERE seq % 5 <> 0), fresh AS (SELECT * FROM ledger WHERE seq % 5 = 0),"
+        f" allowed AS (SELECT f.* FROM fresh f {anti} old o ON o.review_id = f.review_id {anti} old p ON p.boundary_id = f.boundary_id AND p.reviewer = f.reviewer AND p.round = f.round AND p.event_type = f.event_type)"
+        f" SELECT seq, boundary_id, review_id, 'old' AS part FROM old UNION ALL SELECT seq, boundary_id, review_id, 'new' AS part FROM allowed"
+    )
+
+
+PLANS = (
+    ledger_errors, review_state, label_origin_errors, round1_queue, round2_queue, queue_content_hash, boundary_metrics, stratified_metrics,
+    cohen_kappa, maturity_level, operational_readiness, source_manifest_check, quota_sample, scene_split, append_ledger,
+)
