@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of one Arrow batch between Spark and Python; texts are long, so the default of 10,000 rows is much.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; batches to and from Python stay small from here on in the session."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: file sizes for scans, never a data pass."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, tidy
+from .common import bounded, block_count, tidy
 from .fingerprints import SLICE, Runs
 
 #: Bytes of input files in a block, and contents of one anchor beyond which its windows travel one by one.
@@ -306,7 +306,7 @@ def removed(rows: pa.Table, answers: pa.Table, kind: Kind) -> Iterator[tuple[int
 def find_repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, Iterator], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of finish(rows of a block, their covered symbols), for docs with doc_id long and text string."""
     n = block_count(docs, block_bytes)
-    blocks = docs.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    blocks = bounded(docs).withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     mode = kind.mode
     sent = blocks.groupBy(BLOCK).applyInArrow(lambda t: one_round(t, kind, n), ddl(ONE))
     first = sent.groupBy("bucket").applyInArrow(lambda t: answer_one(t, mode), ddl(ANSWER))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ALPHABET
-from .common import SLICE_CHARS, block_count, shared_dir, slices
+from .common import bounded, SLICE_CHARS, block_count, shared_dir, slices
 
 HEAD = struct.Struct("<QI")
 #: Input bytes per output file.
@@ -116,7 +116,7 @@ def write_part(batches: Iterator[pa.RecordBatch], uri: str, path: str, end_id: i
 
 def write_records(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
     """Write files and offset index below uri; returns the index."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = block_count(docs, part_bytes)
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     index = ordered.mapInArrow(lambda it: write_part(it, f"{uri}/records", tokenizer_path, end_id), INDEX)

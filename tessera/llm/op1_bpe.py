@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, Tokenizer, load
-from .common import slices, tidy
+from .common import bounded, slices, tidy
 
 #: word -> (ids, decoded) of the worker's current tokenizer
 _words: dict[tuple[str, str], dict[str, str]] = {}
@@ -70,5 +70,5 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, with_texts: bool = F
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_texts else ""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: encode_batches(it, tokenizer_path, with_texts), schema)

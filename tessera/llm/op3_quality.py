@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 #: Words of the shortest repeat that counts, percent covered allowed, words and percent of the longest repeat.
 MIN_REPEAT, MAX_COVERED, LONG_WORDS, LONG_PERCENT = 10, 15, 50, 10
@@ -141,12 +141,12 @@ def quality_rules(docs: DataFrame, limits: tuple[int, int, int, int] = LIMITS) -
     """Measures and verdict of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("__text"))
     return rows.mapInArrow(lambda it: judge(it, limits, None), schema)
 
 
 def keep_good(docs: DataFrame, limits: tuple[int, int, int, int] = LIMITS) -> DataFrame:
     """The documents that the rules keep, with their columns."""
     names = docs.columns
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
+    rows = bounded(docs).withColumn("__text", F.col("text").cast("string"))
     return rows.mapInArrow(lambda it: judge(it, limits, names), docs.schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count, materialize, shared_dir, slices
+from .common import bounded, block_count, materialize, shared_dir, slices
 from .exchange import ddl, planes, table, unplanes
 from .fingerprints import SLICE, Sequence, mix
 from .op2_substrings import word_symbols
@@ -361,7 +361,7 @@ def components(links: DataFrame, at: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, cls (documents with equal sets share it)."""
     at = shared_dir(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = materialize(rows.mapInArrow(scan, ddl(SCAN)), f"{at}/scan")
     frequent = seen.where("times IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "gram").limit(hot_limit)
     hot = np.sort(np.array([r["gram"] for r in frequent.collect()], np.int64).view(np.uint64))  # hot_limit numbers at most

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, load
-from .common import slices, tidy
+from .common import bounded, slices, tidy
 
 _pieces: dict[str, dict[str, int]] = {}
 
@@ -55,5 +55,5 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> I
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: count_batches(it, tokenizer_path, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

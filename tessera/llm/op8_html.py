@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices
+from .common import bounded, materialize, shared_dir, slices
 
 #: Pages that must show a node before its importance is judged, and the importance needed to stay.
 MIN_PAGES, MIN_IMPORTANCE = 5, 0.2
@@ -192,7 +192,7 @@ def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = bounded(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     tree = style_tree(rows).where((F.col("m") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
     low = materialize(tree.groupBy("host").agg(F.collect_list("path").alias("low")), f"{shared_dir(spark)}/low")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
