@@ -34,12 +34,15 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: file sizes for scans, never a data pass."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate (file sizes for scans); where it knows none, the texts are measured."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:
+        return size
+    return int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
 
 
 def block_count(df: DataFrame, target_bytes: int, least: int = 1) -> int:
-    """Number of groups so that each holds about target_bytes of the input files."""
+    """Number of groups so that each holds about target_bytes of the input."""
     return max(least, math.ceil(plan_bytes(df) / target_bytes))
 
 

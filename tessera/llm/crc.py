@@ -52,7 +52,7 @@ def crc32c(items: list[bytes]) -> np.ndarray:
         if x:
             stop = first[i + 1] * BLOCK
             flat[stop - len(x) : stop] = np.frombuffer(x, np.uint8)
-            head = flat[stop - len(x) : stop - len(x) + 4]
+            head = flat[stop - len(x) : min(stop, stop - len(x) + 4)]
             head ^= 0xFF  # the start value, for strings of four bytes or more
     raw = _raw(flat.reshape(-1, BLOCK))
     value = np.zeros(len(items), np.uint32)

@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 from .bpe import CACHE_WORDS, Tokenizer, load
 from .common import bounded, slices, tidy
 
-#: word -> (ids, decoded) of the worker's current tokenizer
-_words: dict[tuple[str, str], dict[str, str]] = {}
+#: For each tokenizer of the worker: word -> ids as text, word -> decoded text.
+_words: dict[str, tuple[dict[str, str], dict[str, str]]] = {}
 
 
-def learn(tok: Tokenizer, memory: dict[str, tuple[str, str]], lists: list[list[str]]) -> None:
+def learn(tok: Tokenizer, ids_of: dict[str, str], text_of: dict[str, str], lists: list[list[str]]) -> None:
     """Encode and decode the words that the worker hasn't met yet."""
-    if len(memory) > CACHE_WORDS:
-        memory.clear()
-    new = list(set().union(*lists).difference(memory))
+    if len(ids_of) > 2 * CACHE_WORDS:
+        ids_of.clear()
+        text_of.clear()
+    new = list(set().union(*lists).difference(ids_of))
     for word, ids in zip(new, tok.merges.encode_words(new), strict=True):
-        memory[word] = (" ".join(map(str, ids)), tok.decode_words(ids))
+        ids_of[word] = " ".join(map(str, ids))
+        text_of[word] = tok.decode_words(ids)
 
 
 def numbers(lines: list[str], counts: list[int]) -> pa.Array:
@@ -39,23 +41,24 @@ def numbers(lines: list[str], counts: list[int]) -> pa.Array:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, texts: bool) -> Iterator[pa.RecordBatch]:
     tok = load(path)
-    memory = _words.setdefault((path, "words"), {})
+    ids_of, text_of = _words.setdefault(path, ({}, {}))
     tidy()
     glue = "" if tok.byte_decoder else " "
     for batch in batches:
         for part in slices(batch, "text", 2_000_000):
             pieces = [tok.segments(t or "") for t in part.column("text").to_pylist()]
             words = [[tok.pretokens(s) if i is None else (s, i) for s, i in doc] for doc in pieces]
-            learn(tok, memory, [w for doc in words for w in doc if isinstance(w, list)])
+            learn(tok, ids_of, text_of, [w for doc in words for w in doc if isinstance(w, list)])
             counts, ids, decoded = [], [], []
             for doc in words:
-                found = []
+                found, texts_found = [], []
                 for w in doc:
-                    found += [memory[x] for x in w] if isinstance(w, list) else [(str(w[1]), w[0])]
-                line = " ".join([a for a, _ in found if a])
+                    found += map(ids_of.__getitem__, w) if isinstance(w, list) else [str(w[1])]
+                    texts_found += map(text_of.__getitem__, w) if isinstance(w, list) else [w[0]]
+                line = " ".join(filter(None, found))
                 counts.append(line.count(" ") + 1 if line else 0)
                 ids.append(line)
-                decoded.append(glue.join([b for a, b in found if a]))
+                decoded.append(glue.join(filter(None, texts_found)))
             columns = [part.column("doc_id"), pa.array(counts, pa.int64())]
             columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in v], pa.string()) for v in (ids, decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
