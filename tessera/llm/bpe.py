@@ -27,7 +27,8 @@ from tokenizers.pre_tokenizers import Split
 
 #: Replaces a model's end-of-word mark: one character, so that positions stay simple.
 END = "\x00"
-INF = np.int64(1 << 40)
+NEVER = 1 << 40
+INF, NO_PAIR = np.int64(NEVER), (NEVER, -1)
 #: White space as the splitting patterns of the tokenizer files see it (fixed values).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct words remembered by a worker; beyond it the memory starts afresh.
@@ -128,12 +129,17 @@ class Merges:
         word = [self.ids[c] for c in base if c in self.ids]
         pairs = self.pairs
         if len(word) <= 40:
-            while len(word) > 1:
-                best = min((pairs[p][0], i) if (p := (word[i], word[i + 1])) in pairs else (INF, i) for i in range(len(word) - 1))
-                if best[0] == INF:
-                    break
-                i = best[1]
-                word[i : i + 2] = [pairs[word[i], word[i + 1]][1]]
+            get = pairs.get
+            ranks = [get(p, NO_PAIR)[0] for p in zip(word, word[1:], strict=False)]
+            while ranks and (best := min(ranks)) != NEVER:
+                i = ranks.index(best)
+                k = pairs[word[i], word[i + 1]][1]
+                word[i : i + 2] = [k]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((word[i - 1], k), NO_PAIR)[0]
+                if i < len(ranks):
+                    ranks[i] = get((k, word[i + 1]), NO_PAIR)[0]
             return word
         n = len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
