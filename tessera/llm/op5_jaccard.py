@@ -359,7 +359,7 @@ def components(links: DataFrame, at: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls (documents with equal sets share it)."""
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; its own where the set is empty)."""
     at = shared_dir(docs.sparkSession)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = materialize(rows.mapInArrow(scan, ddl(SCAN)), f"{at}/scan")
@@ -379,9 +379,10 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limi
     least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = least.join(labels, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     names = grouped.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = grouped.join(names, "label").select(F.col("cls").alias("__cls"), "component")
+    of_class = grouped.join(names, "label").select(F.col("cls").alias("__cls"), "component", "least")
     joined = found.join(of_class, (F.col("cls") == F.col("__cls")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    of = lambda name: F.when(F.col("n") > 0, F.col(name)).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), of("component").alias("component_id"), of("least").alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 
 
@@ -82,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parsing": op9_parsing,
     "op10_token_records": op10_token_records,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can't express the tokenizers (op1, op6, op10), the hash ring (op7) and the style tree (op8).
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
