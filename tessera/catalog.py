@@ -68,10 +68,11 @@ def english_signals(d: Spark) -> str:
 
 def contraction_issue(d: Spark) -> str:
     """Every cue followed by each contraction mark: safe or not, and whether a space goes between."""
-    marks = "(SELECT '''re here' AS mark UNION ALL SELECT '''m fine' UNION ALL SELECT '''ll go' UNION ALL SELECT '’t do' UNION ALL SELECT '''em all' UNION ALL SELECT ', so' UNION ALL SELECT 'and')"
+    marks = d.array("'''re here'", "'''m fine'", "'''ll go'", "'’t do'", "'''em all'", "', so'", "'and'")
+    rows = d.unnest(marks, "source_id, ordinal, cue", "(SELECT source_id, ordinal, cue FROM cues WHERE lang = 'en') c", "m", "mark")
     return (
         f"WITH {P.cues(d)} SELECT source_id, ordinal, mark, {T.English(d).join_issue('cue', 'mark')} AS issue, {T.attaches(d, 'cue', 'mark', 'true')} AS attaches"
-        f" FROM cues CROSS JOIN {marks} m WHERE lang = 'en' AND ordinal < 3"
+        f" FROM ({rows}) r"
     )
 
 
@@ -133,13 +134,18 @@ def high_risk_joins(d: Spark) -> str:
     return f"WITH {P.decisions(d)} SELECT source_id, ordinal, lcue, rcue, gap_ms, CAST(p AS DOUBLE) AS p FROM decisions WHERE decision = 'join' AND (gap_ms > 1500 OR p >= 0.3 OR {d.match('lv', T.STRONG_END)})"
 
 
+#: Width of the time buckets that points and cues are joined in.
+BUCKET_MS = 30_000
+
+
 def active_cue_at(d: Spark) -> str:
-    """The first active cue at points of each source's time line, and its sentence."""
+    """The first active cue half a second into each cue and just after its end, and its sentence: cues meet points in buckets of time."""
+    low, high = d.div("start_ms", str(BUCKET_MS)), d.div("end_ms", str(BUCKET_MS))
+    spread = d.unnest(d.upto(f"{high} - {low} + 1"), f"source_id, ordinal, sentence_id, start_ms, end_ms, {low} AS low", "numbered", "k", "step")
     return (
-        f"WITH {P.sentences(d)}, points AS (SELECT DISTINCT source_id, start_ms + 500 AS t FROM cues WHERE ordinal % 5 = 0 UNION SELECT DISTINCT source_id, end_ms + 10 FROM cues WHERE ordinal % 7 = 3),"
-        f" hits AS (SELECT q.source_id, q.t, min(n.ordinal) AS ordinal FROM points q JOIN numbered n ON n.source_id = q.source_id AND n.start_ms <= q.t AND q.t < n.end_ms"
-        f" AND n.ordinal BETWEEN {d.div('q.t', str(P.STEP_MS))} - 1 AND {d.div('q.t', str(P.STEP_MS))} GROUP BY q.source_id, q.t)"
-        f" SELECT h.source_id, h.t, h.ordinal, n.sentence_id FROM hits h JOIN numbered n ON n.source_id = h.source_id AND n.ordinal = h.ordinal"
+        f"WITH {P.sentences(d)}, points AS (SELECT source_id, start_ms + 500 AS t FROM cues UNION SELECT source_id, end_ms + 10 FROM cues), spread AS ({spread}),"
+        f" hits AS (SELECT q.source_id, q.t, n.ordinal, n.sentence_id FROM points q JOIN spread n ON n.source_id = q.source_id AND n.low + n.k = {d.div('q.t', str(BUCKET_MS))} AND n.start_ms <= q.t AND q.t < n.end_ms)"
+        f" SELECT source_id, t, min(ordinal) AS ordinal, {d.least_by('sentence_id', 'ordinal')} AS sentence_id FROM hits GROUP BY source_id, t"
     )
 
 

@@ -69,6 +69,10 @@ class Spark:
     def unnest(self, a: str, keep: str, source: str, pos: str = "pos", item: str = "item") -> str:
         return f"SELECT {keep}, CAST({pos} AS BIGINT) AS {pos}, {item} FROM {source} LATERAL VIEW posexplode({a}) AS {pos}, {item}"
 
+    def unnest_both(self, a: str, b: str, keep: str, source: str, pos: str, x: str, y: str) -> str:
+        """Two array columns side by side, a row for each item of the longer one, nulls beside the rest."""
+        return f"SELECT {keep}, CAST({pos} AS BIGINT) AS {pos}, both_.{a} AS {x}, both_.{b} AS {y} FROM {source} LATERAL VIEW posexplode(arrays_zip({a}, {b})) AS {pos}, both_"
+
     def listagg(self, x: str, by: str, order: str) -> str:
         """The texts of a group in order; collected as pairs, so that order doesn't rest on the shuffle."""
         return f"array_join(transform(array_sort(collect_list(struct({order} AS k, {x} AS v))), s -> s.v), '{by}')"
@@ -146,6 +150,9 @@ class Duck(Spark):
     def unnest(self, a: str, keep: str, source: str, pos: str = "pos", item: str = "item") -> str:
         return f"SELECT {keep}, CAST(unnest(range(0, len({a}))) AS BIGINT) AS {pos}, unnest({a}) AS {item} FROM {source}"
 
+    def unnest_both(self, a: str, b: str, keep: str, source: str, pos: str, x: str, y: str) -> str:
+        return f"SELECT {keep}, CAST(unnest(range(0, greatest(len({a}), len({b})))) AS BIGINT) AS {pos}, unnest({a}) AS {x}, unnest({b}) AS {y} FROM {source}"
+
     def listagg(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, '{by}' ORDER BY {order})"
 

@@ -14,10 +14,10 @@ def pick(d: Spark, key: str, values: tuple[str, ...]) -> str:
 
 
 def ledger(d: Spark) -> str:
-    """The events table read as an append-only review ledger; event_id is the order of events."""
+    """The events table read as an append-only review ledger, three events on a boundary; event_id is the order of events."""
     return (
-        "ledger AS (SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN 'adjudication' ELSE 'review' END AS event_type, concat('b', CAST(user_id % 97 AS VARCHAR(9))) AS boundary_id,"
-        f" CAST(user_id % 97 AS BIGINT) AS b, concat('rv', CAST({d.div('event_id', '2')} + event_id % 2 * 100000 AS VARCHAR(12))) AS review_id, {pick(d, 'event_id * 7 + user_id', ('ana', 'ben', 'cruz', 'dia'))} AS reviewer,"
+        f"ledger AS (SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN 'adjudication' ELSE 'review' END AS event_type, concat('b', CAST({d.div('event_id', '3')} * 2 AS VARCHAR(20))) AS boundary_id,"
+        f" CAST({d.div('event_id', '3')} * 2 AS BIGINT) AS b, concat('rv', CAST({d.div('event_id', '2')} + event_id % 2 * 100000 AS VARCHAR(12))) AS review_id, {pick(d, 'event_id * 7 + user_id', ('ana', 'ben', 'cruz', 'dia'))} AS reviewer,"
         f" CAST(1 + event_id % 2 AS BIGINT) AS round, {pick(d, 'event_id * 5 + user_id * 3', (*LABELS, 'JOIN', 'MAYBE'))} AS label, {pick(d, 'event_id * 3', ('high', 'medium', 'low'))} AS confidence,"
         " CASE WHEN event_id % 41 = 0 THEN '' ELSE event_type END AS reason, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'human' END AS origin FROM events)"
     )
@@ -69,7 +69,7 @@ def label_origin_errors(d: Spark) -> str:
     return f"WITH {ledger(d)} SELECT boundary_id, origin, count(*) AS n, min(seq) AS first_seq FROM ledger WHERE origin <> 'human' GROUP BY boundary_id, origin"
 
 
-CANDIDATES = "candidates AS (SELECT concat('b', CAST(doc_id % 131 AS VARCHAR(9))) AS boundary_id, min(source) AS source, min(doc_id) AS cue FROM documents GROUP BY concat('b', CAST(doc_id % 131 AS VARCHAR(9))))"
+CANDIDATES = "candidates AS (SELECT concat('b', CAST(doc_id AS VARCHAR(20))) AS boundary_id, source, doc_id AS cue FROM documents)"
 
 
 def round1_queue(d: Spark) -> str:
@@ -87,7 +87,7 @@ def round2_queue(d: Spark) -> str:
     anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
     return (
         f"WITH {ledger(d)}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id ORDER BY seq) AS r FROM ledger WHERE event_type = 'review' AND round = 1) a WHERE r = 1 AND reviewer <> 'ana'),"
-        f" own AS (SELECT DISTINCT boundary_id FROM ledger WHERE reviewer = 'ana' AND seq % 97 = 0), ruled AS (SELECT DISTINCT boundary_id FROM ledger WHERE event_type = 'adjudication' AND seq % 500 = 9),"
+        f" own AS (SELECT DISTINCT boundary_id FROM ledger WHERE reviewer = 'ana'), ruled AS (SELECT DISTINCT boundary_id FROM ledger WHERE event_type = 'adjudication'),"
         f" open AS (SELECT f.boundary_id, f.b, {tier} AS tier FROM firsts f {anti} own o ON o.boundary_id = f.boundary_id {anti} ruled u ON u.boundary_id = f.boundary_id),"
         f" ordered AS (SELECT boundary_id, tier, row_number() OVER (ORDER BY tier, b) AS place, count(*) OVER () AS n FROM open)"
         f" SELECT boundary_id, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place FROM ordered WHERE place <= greatest(1, ceil(n * 0.2))"
@@ -95,11 +95,11 @@ def round2_queue(d: Spark) -> str:
 
 
 def queue_content_hash(d: Spark) -> str:
-    """Rows as JSON in order, with the separators that hashes are taken over."""
+    """Batches of 25 candidates of a source: rows as JSON in order, with the separators that hashes are taken over."""
     row = """concat('{"boundaryId": "', boundary_id, '", "cue": ', CAST(cue AS VARCHAR(20)), ', "source": "', source, '"}')"""
     return (
-        f"WITH {CANDIDATES}, rows_of AS (SELECT source, boundary_id, cue, {row} AS line FROM candidates)"
-        f" SELECT source, count(*) AS row_count, {d.sha256('concat(' + repr('[') + ', ' + d.listagg('line', ', ', 'cue') + ', ' + repr(']') + ')')} AS content_sha256 FROM rows_of GROUP BY source"
+        f"WITH {CANDIDATES}, rows_of AS (SELECT source, CAST({d.div('rn - 1', '25')} AS BIGINT) AS batch, cue, {row} AS line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cue) AS rn FROM candidates) a)"
+        f" SELECT source, batch, count(*) AS row_count, {d.sha256('concat(' + repr('[') + ', ' + d.listagg('line', ', ', 'cue') + ', ' + repr(']') + ')')} AS content_sha256 FROM rows_of GROUP BY source, batch"
     )
 
 

@@ -11,15 +11,14 @@ CUTOFF, TARGET, SIDE = 0.63, 0.80, 256
 
 def tokens(d: Spark) -> str:
     """The target of a document is its third token; offsets from the lengths of what lies before each token."""
-    body = d.chars("text", "1", "5000")
     first = (
         f"picked AS (SELECT doc_id, lang, body, toks, {d.split('body', T.TOKEN)} AS gaps, lower({d.item('toks', '3')}) AS target FROM"
-        f" (SELECT doc_id, lang, body, {d.extract_all('body', T.TOKEN)} AS toks FROM (SELECT doc_id, lang, {body} AS body FROM documents WHERE text IS NOT NULL) a) b)"
+        f" (SELECT doc_id, lang, body, {d.extract_all('body', T.TOKEN)} AS toks FROM (SELECT doc_id, lang, text AS body FROM documents WHERE text IS NOT NULL) a) b)"
     )
-    rows = d.unnest("toks", "doc_id, target, gaps", "picked", "i", "tok")
+    rows = d.unnest_both("toks", "gaps", "doc_id, target", "picked", "i", "tok", "gap")
     w = "OVER (PARTITION BY doc_id ORDER BY i)"
     return (
-        f"{first}, listed AS ({rows}), placed AS (SELECT doc_id, target, i, tok, CAST(sum(length({d.item('gaps', 'i + 1')})) {w} + sum(length(tok)) {w} - length(tok) AS BIGINT) AS start FROM listed),"
+        f"{first}, listed AS ({rows}), placed AS (SELECT doc_id, target, i, tok, CAST(sum(length(gap)) {w} + sum(length(tok)) {w} - length(tok) AS BIGINT) AS start FROM listed WHERE tok IS NOT NULL),"
         f" found AS (SELECT doc_id, target, i, tok, start, CAST(start + length(tok) AS BIGINT) AS stop FROM placed WHERE lower(tok) = target)"
     )
 
@@ -45,8 +44,8 @@ def scored(d: Spark) -> str:
     """Every vector against the next one by id: cosine, calibrated score, whether labels agree."""
     cosine = f"greatest(-1e0, least(1e0, {d.dot('v', 'u')} / sqrt({d.dot('v', 'v')} * {d.dot('u', 'u')})))"
     return (
-        "pairs AS (SELECT vec_id, label, embedding AS v, lead(embedding) OVER (PARTITION BY block ORDER BY vec_id) AS u, lead(label) OVER (PARTITION BY block ORDER BY vec_id) AS next_label"
-        f" FROM (SELECT vec_id, label, embedding, {d.div('vec_id', '50')} AS block FROM embeddings) a), cosines AS (SELECT vec_id, label = next_label AS same, round({cosine}, 6) AS cosine FROM pairs WHERE u IS NOT NULL),"
+        "pairs AS (SELECT a.vec_id, a.label, a.embedding AS v, b.embedding AS u, b.label AS next_label FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+        f", cosines AS (SELECT vec_id, label = next_label AS same, round({cosine}, 6) AS cosine FROM pairs WHERE u IS NOT NULL),"
         f" scored AS (SELECT vec_id, same, cosine, round(greatest(-1e0, least(1e0, CASE WHEN cosine <= {CUTOFF}e0 THEN cosine * {TARGET}e0 / {CUTOFF}e0"
         f" ELSE {TARGET}e0 + (cosine - {CUTOFF}e0) * (1 - {TARGET}e0) / (1 - {CUTOFF}e0) END)), 6) AS score FROM cosines)"
     )
