@@ -1,16 +1,123 @@
-"""The pipeline: stages return the documents' columns, and its rows are what the stages' rules leave."""
+"""The pipeline against brute force: what each stage leaves, and the rows of run()."""
+
+import hashlib
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import tokenizers
 
 import corpus_pipeline as p
 
 SF = "/root/testdata/sf0.001"
+LOW = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def repeated(w, n):
+    """Starts of the windows of n words that are found twice or more."""
+    seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return [i for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1]
+
+
+def good(text):
+    w = text.encode().split()
+    n = len(w)
+    spread = lambda k: len({j for i in repeated(w, k) for j in range(i, i + k)})
+    if n < 10 or 100 * spread(5) > 20 * n or 100 * spread(10) > 15 * n:
+        return False
+    return not repeated(w, max(50, n // 10) + 1)  # a repeat of over 50 words and 10 %
+
+
+def shingles(text):
+    w = text.translate(LOW).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def firsts(docs):
+    root = {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    sets = {d: shingles(t) for d, t in docs.items()}
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: t for d, t in docs.items() if find(d) == d}
+
 
+def without_repeats(docs):
+    first, left = {}, {}
+    for d in sorted(docs):
+        b = docs[d].encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    for d, t in docs.items():
+        b, gone = t.encode(), set()
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone.update(range(i, i + 50))
+        left[d] = bytes(c for i, c in enumerate(b) if i not in gone)
+    return left
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, left = docs.columns, docs.count()
-    for name, stage in p.STAGES[:-1]:
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def clean(docs, items):
+    phrases = set()
+    for t in items:
+        w = plain_words(t)
+        phrases |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = set(map(len, phrases))
+
+    def hit(w):
+        return any(tuple(w[i : i + n]) in phrases for n in sizes for i in range(len(w) - n + 1))
+
+    return {d: t for d, t in docs.items() if not hit(plain_words(t))}
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Every stage's rows, each over what the one before left."""
+    docs, found = spark.read.parquet(f"{SF}/documents.parquet"), []
+    found.append(docs.cache())
+    for _, stage in p.STAGES[:-1]:
         docs = stage(spark, docs, SF).cache()
-        assert docs.columns == columns and 0 < docs.count() <= left, name
-        left = docs.count()
-    got = p.run(spark, SF)
-    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+        found.append(docs)
+    return found
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_stages(spark, stages):
+    assert [name for name, _ in p.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "benchmark_passages", "token_ids"]
+    assert all(s.columns == stages[0].columns for s in stages)
+    first, quality, near, cut, last = map(texts, stages)
+    assert quality == {d: t for d, t in first.items() if good(t or "")}
+    assert near == firsts(quality)
+    want = without_repeats(near)
+    assert {d: (t or "").encode() for d, t in cut.items()} == {d: b.decode("utf-8", "ignore").encode() for d, b in want.items()}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert last == clean(cut, items)
+    assert len(first) > len(quality) > len(near) > len(last) > 0 and near != cut  # every decision takes effect
+
+
+def test_run(spark, stages):
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for d, x in texts(stages[-1]).items():
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        decoded = t.decode(ids, skip_special_tokens=False)
+        want[d] = (len(ids), list(ids), *(hashlib.sha256(v.encode()).hexdigest() for v in (" ".join(map(str, ids)), decoded)))
+    got = p.run(spark, SF).collect()
+    assert len(got) == len(want)
+    assert {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
