@@ -8,9 +8,10 @@ import numpy as np
 
 #: Odd multiplier of the polynomial fingerprint, arithmetic is modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Bytes of text handled at once; positions of a slice fit in 24 bits.
+#: Bytes of text handled at once; a longer text is a slice of its own.
 SLICE = 500_000
-PLACE = np.uint64((1 << 24) - 1)
+#: Low bits of a hash that hold a position while least hashes are sought.
+PLACE_BITS = 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +69,21 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (w - h)], out[w - h :]) if w > h else out
 
 
+def first_least(grams: np.ndarray, w: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """Of every w neighbours the place of the least by its high bits, the first on a tie.
+
+    Places count from the start of a stretch that `bits` bits can number; stretches overlap by w - 1.
+    """
+    place = np.uint64((1 << bits) - 1)
+    step = (1 << bits) - w + 1
+    out = np.empty(max(0, len(grams) - w + 1), np.int64)
+    for at in range(0, len(out), step):
+        part = grams[at : at + step + w - 1]
+        least = sliding_min((part & ~place) | np.arange(len(part), dtype=np.uint64), w)
+        out[at : at + step] = (least & place).astype(np.int64) + at
+    return out
+
+
 class Runs:
     """The windows of `length` symbols of a slice of documents, grouped by their anchors.
 
@@ -85,11 +101,9 @@ class Runs:
             return
         seq = Sequence(values)
         grams = mix(seq.every(k))
-        placed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min(placed, length - k + 1)
+        anchor = first_least(grams, length - k + 1)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        ok = np.arange(len(least)) + length <= first[1:][doc[: len(least)]]
-        anchor = (least & PLACE).astype(np.int64)
+        ok = np.arange(len(anchor)) + length <= first[1:][doc[: len(anchor)]]
         begins = ok.copy()
         begins[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
         ends = ok.copy()

@@ -11,7 +11,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import exchange, op1_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_jaccard, op6_counts, op7_sharding, op8_html, op9_parsing, op10_records
+from tessera.llm import exchange, fingerprints, op1_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_jaccard, op6_counts, op7_sharding, op8_html, op9_parsing, op10_records
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, block int, h long, source string"
@@ -162,6 +162,26 @@ def test_parsing(docs, empty):
     assert op9_parsing.remove_repeats(empty).count() == 0
 
 
+def test_positions_beyond_their_bits():
+    rng = np.random.default_rng(2)
+    for top in (2, 1 << 40):  # many ties, none
+        grams = rng.integers(0, top, 900).astype(np.uint64) << np.uint64(8)
+        want = [i + int(np.argmin(grams[i : i + 28])) for i in range(len(grams) - 27)]
+        assert fingerprints.first_least(grams, 28, 8).tolist() == want == fingerprints.first_least(grams, 28, 5).tolist()
+    assert fingerprints.first_least(grams[:20], 28, 8).tolist() == []
+
+
+def test_passage_beyond_the_bits_of_a_place():
+    """A passage past symbol 2**24 of one text has the anchors and groups of its copy in a short one."""
+    passage = np.random.default_rng(4).integers(1, 1 << 60, 200).astype(np.uint64)
+    far = np.concatenate([np.full((1 << 24) + 3, 7, np.uint64), passage])
+    long, short = (fingerprints.Runs(v, np.array([0, len(v)]), 50, 18) for v in (far, passage))
+    inner = slice(1, -1)  # runs that lie inside the passage
+    assert len(short.group) > 5 and set(short.group.tolist()) <= set(long.group.tolist())
+    assert set(short.content[inner].tolist()) <= set(long.content.tolist())
+    assert int(long.anchor.max()) > 1 << 24
+
+
 def test_jaccard(docs, empty):
     rows = corpus()
     sets = []
