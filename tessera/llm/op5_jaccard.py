@@ -110,6 +110,9 @@ class Sets:
                 size += len(texts[stop])
                 stop += 1
             doc, gram = shingles(texts[start:stop])
+            if not len(doc):  # only texts without words
+                start = stop
+                continue
             _, cls = classes(doc, gram, stop - start)
             at = np.searchsorted(hot, gram)
             late = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == gram) if len(hot) else np.zeros(len(gram), bool)

@@ -209,6 +209,19 @@ def test_jaccard(docs, empty):
     assert op5_jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_wordless_slices(spark):
+    """Slices without a shingle: a block of wordless texts, and wordless texts before one longer than a slice."""
+    schema = "doc_id long, text string"
+    wordless = [(1, ""), (2, None), (3, " \t\n")]
+    got = op5_jaccard.jaccard_components(spark.createDataFrame(wordless, schema))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(repr((d, 0, d)) for d, _ in wordless)
+    long = " ".join(f"w{i}" for i in range(80_000))
+    assert len(long) > fingerprints.SLICE
+    got = op5_jaccard.jaccard_components(spark.createDataFrame([*wordless, (4, long), (5, long + " end")], schema))
+    want = [*((d, 0, d) for d, _ in wordless), (4, 79_996, 4), (5, 79_997, 4)]
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(map(repr, want))
+
+
 def test_jaccard_tiles(docs, monkeypatch):
     whole = rows_of(op5_jaccard.jaccard_components(docs, block_bytes=2_000), "doc_id", "component_id")
     monkeypatch.setattr(op5_jaccard, "TILE", 3)
