@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, block_count, materialize, shared_dir, slices
@@ -76,25 +76,25 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
+SCAN = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, cls) of documents, and (gram, times) of shingles that several classes of a slice share."""
+    """Rows (doc_id, sig, n, cls) of documents, and (gram, times) of shingles that several classes of a slice share."""
     for batch in batches:
         for part in slices(batch, "text"):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
             doc, gram = shingles(texts)
             n, cls = classes(doc, gram, len(texts))
             blank = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(cls)), blank, blank], schema=SCAN)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sig"), pa.array(n), pa.array(signed(cls)), blank, blank], schema=SCAN)
             lead = np.zeros(len(texts), bool)
             lead[np.unique(cls, return_index=True)[1]] = True
             found, times = np.unique(gram[lead[doc]], return_counts=True)
             many = times > 2
             if many.any():
                 blank = pa.nulls(int(many.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(signed(found[many])), pa.array(times[many].astype(np.int64))], schema=SCAN)
+                yield pa.RecordBatch.from_arrays([blank, blank, blank, blank, pa.array(signed(found[many])), pa.array(times[many].astype(np.int64))], schema=SCAN)
 
 
 class Sets:
@@ -361,11 +361,16 @@ def components(links: DataFrame, at: str) -> DataFrame:
         edges = after
 
 
-def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; its own where the set is empty)."""
+def text_sig() -> Column:
+    """Tells apart the texts of rows that share a doc_id, or have none."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def labelled(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
+    """doc_id, sig, n and, where n > 0, the component's smallest doc_id, the class's, and the component's first row."""
     at = shared_dir(docs.sparkSession)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = materialize(rows.mapInArrow(scan, ddl(SCAN)), f"{at}/scan")
+    seen = materialize(rows.withColumn("sig", text_sig()).mapInArrow(scan, ddl(SCAN)), f"{at}/scan")
     frequent = seen.where("times IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "gram").limit(hot_limit)
     hot = np.sort(np.array([r["gram"] for r in frequent.collect()], np.int64).view(np.uint64))  # hot_limit numbers at most
     n = block_count(docs, block_bytes)
@@ -378,18 +383,33 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limi
     links = materialize(sets.groupBy("bucket").applyInArrow(link, ddl(LINK)), f"{at}/links")
     labels = components(links, at)
 
-    found = seen.where("cls IS NOT NULL").select("doc_id", "n", "cls")
-    least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    grouped = least.join(labels, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
-    names = grouped.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = grouped.join(names, "label").select(F.col("cls").alias("__cls"), "component", "least")
+    found = seen.where("cls IS NOT NULL").select("doc_id", "sig", "n", "cls")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sig")
+    least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(own).alias("own_first"))
+    grouped = least.join(labels, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "least", "own_first")
+    names = grouped.groupBy("label").agg(F.min("least").alias("component"), F.min("own_first").alias("first"))
+    of_class = grouped.join(names, "label").select(F.col("cls").alias("__cls"), "component", "least", "first")
     joined = found.join(of_class, (F.col("cls") == F.col("__cls")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", "sig", "n", "component", "least", "first")
+
+
+def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; its own where the set is empty)."""
     of = lambda name: F.when(F.col("n") > 0, F.col(name)).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), of("component").alias("component_id"), of("least").alias("class_id"))
+    return labelled(docs, block_bytes, hot_limit).select("doc_id", F.col("n").alias("n_shingles"), of("component").alias("component_id"), of("least").alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
-    found = jaccard_components(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each component stays: the one with the smallest doc_id (null last), then by its text's hash; of equal rows any one."""
+    at = shared_dir(docs.sparkSession)
+    pairs = labelled(docs).where("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("times"), F.min("first").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sig") == F.col("first.sig"))
+    told = pairs.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), (~stays).alias("gone"), "times").where("gone OR times > 1")
+    told = materialize(told, f"{at}/told")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_sig() == F.col("__sig"))
+    left = docs.join(told.where("gone"), same, "left_anti")
+    twice = told.where("NOT gone")
+    if twice.isEmpty():
+        return left
+    one = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(one)

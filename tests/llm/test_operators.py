@@ -222,6 +222,23 @@ def test_jaccard_wordless_slices(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(map(repr, want))
 
 
+def test_keep_first_row_by_row(spark):
+    """One row of each component stays, whatever ids its rows share or lack; rows of other components are left alone."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    schema = "doc_id long, text string, source string"
+    rows = [
+        (1, words("a"), "s"), (1, words("a"), "s"), (1, words("a") + " z", "s"),  # a repeated row and a near copy under one id
+        (None, words("b"), "s"), (None, words("b"), "s"), (None, words("b") + " z", "s"),  # all ids null
+        (2, words("c"), "s"), (None, words("c"), "s"), (None, words("d"), "s"),  # a null id copies 2; another is unique
+        (3, words("e"), "s"), (4, words("e"), "s"), (4, words("f"), "s"),  # one of two rows with id 4 copies 3
+        (5, "", "s"), (5, "", "s"), (None, None, "s"), (None, None, "s"),  # wordless rows link with nothing
+    ]
+    got = op5_jaccard.keep_first(spark.createDataFrame(rows, schema).repartition(3))
+    assert got.columns == ["doc_id", "text", "source"]
+    kept = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in got.collect())
+    assert kept == {(1, "a"): 1, (None, "b"): 1, (2, "c"): 1, (None, "d"): 1, (3, "e"): 1, (4, "f"): 1, (5, ""): 2, (None, ""): 2}
+
+
 def test_jaccard_tiles(docs, monkeypatch):
     whole = rows_of(op5_jaccard.jaccard_components(docs, block_bytes=2_000), "doc_id", "component_id")
     monkeypatch.setattr(op5_jaccard, "TILE", 3)
