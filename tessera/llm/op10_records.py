@@ -32,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ALPHABET
+from .bpe import ALPHABET, SPACE, load
 from .common import bounded, SLICE_CHARS, block_count, shared_dir, slices
 
 HEAD = struct.Struct("<QI")
 #: Input bytes per output file.
 PART_BYTES = 16 << 20
+#: White-space runs from this length on don't go through the library's pattern, whose stack ends near a million.
+LONG_RUN = 100_000
+long_runs = regex.compile(f"[{SPACE}]{{{LONG_RUN},}}").finditer
 INDEX = "doc_id long, part int, path string, offset long, n_bytes long, n_tokens long, before long"
 
 
@@ -55,12 +58,28 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, dict[str, int], regex.Pattern
     return enc, added, regex.compile("(" + "|".join(map(regex.escape, added)) + ")"), top
 
 
+def encode_plain(path: str, text: str) -> list[int]:
+    """Ids of a text without special strings; long white-space runs are cut out as the pattern would cut them."""
+    enc = encoder(path)[0]
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in long_runs(text):
+        merges = load(path).merges
+        a, b = run.span()
+        b -= b < len(text)  # the last one belongs to what follows
+        out += enc.encode_ordinary(text[at:a])
+        out += merges.exact(merges.symbols(text[a:b]))
+        at = b
+    return out + enc.encode_ordinary(text[at:])
+
+
 def encode(path: str, text: str, end_id: int) -> np.ndarray:
-    enc, added, split, top = encoder(path)
+    _, added, split, top = encoder(path)
     kind = np.uint16 if max(top, end_id) < 1 << 16 else np.uint32
     out = []
     for s in split.split(text) if "<|" in text else [text]:
-        out.append([added[s]] if s in added else enc.encode_ordinary(s))
+        out.append([added[s]] if s in added else encode_plain(path, s))
     return np.array([t for x in out for t in x] + [end_id], kind)
 
 

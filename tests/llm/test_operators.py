@@ -93,6 +93,16 @@ def test_records(docs, empty):
     assert op10_records.token_records(empty, BYTE).count() == 0
 
 
+def test_records_of_long_white_space():
+    """Runs of over a million spaces or mixed white space: before a word, before a special string, at the end, at a cut's edge."""
+    t = tokenizers.Tokenizer.from_file(BYTE)
+    n, mixed = 1_200_000, " \n\t\u2003\xa0" * 240_001
+    texts = ["a" + " " * n + "b c", "\n" * n, "x" + mixed, mixed + "'s 12", " " * n + "<|endoftext|>" + "\n" * n + "!"]
+    texts += [" " * k + "b" for k in (99_999, 100_000, 100_001)]
+    for x in texts:
+        assert op10_records.encode(BYTE, x, 2).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
 def test_damaged_record_is_found():
     frame = op10_records.frames([b"payload"])[0]
     assert op10_records.unframe([frame]) == [b"payload"]
