@@ -36,9 +36,7 @@ def bounded(df: DataFrame) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate (file sizes for scans); where it knows none, the texts are measured."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1 << 50:
-        return size
-    return int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    return size if size < 1 << 50 else text_bytes(df)
 
 
 def block_count(df: DataFrame, target_bytes: int, least: int = 1) -> int:
@@ -46,6 +44,11 @@ def block_count(df: DataFrame, target_bytes: int, least: int = 1) -> int:
     return max(least, math.ceil(plan_bytes(df) / target_bytes))
 
 
+def text_bytes(df: DataFrame) -> int:
+    """UTF-8 bytes of the texts: file sizes say little of texts that repeat themselves."""
+    return int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below the cluster's shared checkpoint folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -95,3 +98,23 @@ def same_document(left: DataFrame, right: DataFrame, keys: list[str], how: str =
         c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         on = c if on is None else on & c
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+#: Rows of one key beyond which a key is hot, at least; hot keys of a join, at most; tasks that share one.
+HOT_ROWS, HOT_KEYS, SALTS = 1_000, 20_000, 16
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, *by: str) -> DataFrame:
+    """Inner join on key, with right's column `times` telling how many rows of left have its key; `times` is dropped.
+
+    Rows of hot keys are dealt to SALTS tasks by the columns `by`. As many rows as left has can't hold more than HOT_KEYS
+    keys that are hot by this rule, so that list is broadcast.
+    """
+    rows = right.agg(F.sum("times")).first()[0] or 0
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = right.where(F.col("times") > limit).select(F.col(key).alias("__hot"))
+    salted = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0)).drop("__hot")
+    salts = F.when(F.col("times") > limit, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = right.withColumn("__s", F.explode(salts)).withColumnRenamed(key, "__key").drop("times")
+    return salted.join(spread, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__s"))).drop("__key", "__s", "__salt")

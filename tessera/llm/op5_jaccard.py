@@ -14,50 +14,61 @@ link if their sets' overlap reaches ceil(0.8 / 1.8 * (|x| + |y|)).
 3. Members first send the centres a bitmap of their set, some 3 bits for each element. Two sets differ in
    at least as many elements as their bitmaps in bits, so the centre knows without error who
    can't link to any other (documents that share one passage, say), and asks the rest for their sets.
-   Each set then searches the others: the short lists
-   of the group are merged and counted, candidates that may still reach T are probed in the
-   long lists by binary search, and members already connected are skipped. What leaves is
-   a spanning forest, not pairs. A centre with more than TILE members is split into tiles, and
+   Each set then searches the others: the short lists of the group are merged by a heap, which counts each
+   candidate; candidates are probed in the long lists by binary search, and members already
+   connected are skipped. What leaves is a spanning forest, not pairs. A centre with more than TILE members is split into tiles, and
    every two tiles meet in a task of their own.
 4. Components of the forests by alternating large-star and small-star steps, written to the
-   shared folder after each; labels are the smallest doc_id.
+   shared folder after each; labels are the smallest doc_id. Vertices, classes and components with many
+   rows are dealt to several tasks (common.hot_join).
+
+Shingles are 63-bit hashes made of xxh3 of the words by nonlinear steps, classes 64-bit hashes of sets.
 
 A document without words has no shingles and links with nothing; fewer than five words
 are one shingle. A row without doc_id takes part, but cannot name its component; rows that
-repeat a doc_id are documents of their own that share the name.
+repeat a doc_id are documents of their own that share the name. Rows repeated whole are copies. Null text is
+empty; very long texts are never cut; ties have no say in components; other columns are ignored (keep_first
+keeps them, whatever their names but __id, __sig, gone and times); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, block_count, materialize, shared_dir, slices
-from .exchange import ddl, planes, table, unplanes
-from .fingerprints import SLICE, Sequence, mix
-from .op2_substrings import word_symbols
+from .blocks import BLOCK, BLOCK_BYTES, Deal, ddl, planes, table, unplanes
+from .common import bounded, hot_join, materialize, shared_dir, slices
+from .hashing import longer, mix, word_hashes
 
 SIZE, PERCENT = 5, 80
-HOT, TILE, BLOCK_BYTES = 50_000, 4_096, 2 << 20
+HOT, TILE, SLICE = 50_000, 4_096, 500_000
 TOP = np.uint64(1 << 63)
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of all texts, sorted and without repeats; shingles are 63-bit numbers."""
-    values, first, _, _ = word_symbols([t.lower() for t in texts])  # bytes.lower changes A-Z only
-    n = np.diff(first)
+    words = [t.lower().split() for t in texts]  # bytes.lower changes A-Z only
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.r_[0, np.cumsum(n)]
     doc = np.repeat(np.arange(len(texts)), n)
-    seq = Sequence(values)
-    whole = np.flatnonzero(np.arange(len(values)) + SIZE <= first[1:][doc]) if len(values) else np.zeros(0, np.int64)
-    few = np.flatnonzero((n > 0) & (n < SIZE))
-    gram = mix(seq.of(whole, whole + SIZE) + np.uint64(SIZE))
-    short = mix(seq.of(first[few], first[few + 1]) + n[few].astype(np.uint64))
-    doc, gram = np.concatenate([doc[whole], few]), np.concatenate([gram, short]) >> np.uint64(1)
+    one = word_hashes([w for d in words for w in d])
+    two = longer(one, 1, 2)
+    four = longer(two, 2, 4)
+    by_length = {1: one, 2: two, 3: longer(two, 2, 3), 4: four, SIZE: longer(four, 4, SIZE)}
+    whole = np.flatnonzero(np.arange(len(doc)) + SIZE <= first[1:][doc])
+    docs, grams = [doc[whole]], [mix(by_length[SIZE][whole] + np.uint64(SIZE))]
+    for k in range(1, SIZE):
+        few = np.flatnonzero(n == k)
+        docs.append(few)
+        grams.append(mix(by_length[k][first[few]] + np.uint64(k)))
+    doc, gram = np.concatenate(docs), np.concatenate(grams) >> np.uint64(1)
     order = np.lexsort((gram, doc))
     doc, gram = doc[order], gram[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])] if len(doc) else np.zeros(0, bool)
@@ -149,16 +160,16 @@ def send_lists(rows: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
     where = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((spread, where))
     where = where[order]
-    block = rows.column("block")[0].as_py()
-    out = [(int(where[p[0]]), block, planes([(spread[q], 5), (cls[q], 8), (size[q], 3)])) for p in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1) for q in (order[p],)]
+    block = rows.column(BLOCK)[0].as_py()
+    out = [(int(where[p[0]]), block, planes([(spread[q], 5), (cls[q], 8), (size[q], 4)])) for p in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1) for q in (order[p],)]
     return table(out, ONE)
 
 
-def centres(rows: pa.Table) -> pa.Table:
+def centres(rows: pa.Table, tile: int) -> pa.Table:
     """For each list of a bucket with several classes: tells the members' blocks (class, centre, tiles)."""
     gram, cls, size, block = [], [], [], []
     for b, payload in zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist(), strict=True):
-        g, c, s = unplanes(payload, [5, 8, 3])
+        g, c, s = unplanes(payload, [5, 8, 4])
         gram.append(g)
         cls.append(c)
         size.append(s.astype(np.int64))
@@ -174,7 +185,7 @@ def centres(rows: pa.Table) -> pa.Table:
     members = np.diff(np.r_[first, len(cls)])
     centre = np.minimum.reduceat(cls, first)
     many = np.flatnonzero(members[group] > 1)
-    tiles = -(-members // TILE)
+    tiles = -(-members // tile)
     told = np.unique(np.stack([block[many].astype(np.uint64), cls[many], centre[group[many]], tiles[group[many]].astype(np.uint64)]), axis=1) if len(many) else np.zeros((4, 0), np.uint64)
     out = []
     for p in np.split(np.arange(told.shape[1]), np.flatnonzero(np.diff(told[0].astype(np.int64))) + 1) if told.shape[1] else []:
@@ -206,7 +217,7 @@ def send_sketches(rows: pa.Table, asked: pa.Table, hot: np.ndarray, buckets: int
     if not wanted or not rows.num_rows:
         return table([], TWO)
     sets = Sets(rows, hot).sets
-    block = rows.column("block")[0].as_py()
+    block = rows.column(BLOCK)[0].as_py()
     maps: dict[int, bytes] = {}
     sent: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
     for c, centre, tiles in wanted:
@@ -224,7 +235,7 @@ def message(sent: dict[int, list[tuple[int, int, int, bytes]]], block: int) -> p
     out = []
     for to, items in sent.items():
         keys, cls, n, data = zip(*items, strict=True)
-        out.append((to, block, planes([(np.array(keys, np.uint64), 8), (np.array(cls, np.uint64), 8), (np.array(n, np.uint64), 3)]), b"".join(data)))
+        out.append((to, block, planes([(np.array(keys, np.uint64), 8), (np.array(cls, np.uint64), 8), (np.array(n, np.uint64), 4)]), b"".join(data)))
     return table(out, TWO)
 
 
@@ -233,7 +244,7 @@ def near(rows: pa.Table) -> pa.Table:
     groups: dict[int, dict[int, tuple[int, np.ndarray, int]]] = defaultdict(dict)
     for block, keys, data in zip(rows.column("block").to_pylist(), rows.column("keys").to_pylist(), rows.column("sets").to_pylist(), strict=True):
         at = 0
-        for k, c, n in zip(*(x.tolist() for x in unplanes(keys, [8, 8, 3])), strict=True):
+        for k, c, n in zip(*(x.tolist() for x in unplanes(keys, [8, 8, 4])), strict=True):
             size = width_of(n) // 8
             groups[k][c] = (n, np.frombuffer(data, "<u8", size // 8, at), block)
             at += size
@@ -271,7 +282,7 @@ def send_sets(rows: pa.Table, asked: pa.Table, hot: np.ndarray, buckets: int) ->
     sent: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
     for c, key in wanted:
         sent[key % buckets].append((key, c, len(sets[c]), sets[c].astype("<u8").tobytes()))
-    return message(sent, rows.column("block")[0].as_py())
+    return message(sent, rows.column(BLOCK)[0].as_py())
 
 
 def t_occurrence(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -295,25 +306,22 @@ def t_occurrence(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return i
 
     out = []
+    named = token[by_token] * len(order) + posting  # all lists after another, sorted: one binary search probes any of them
     for x in range(1, len(order)):
         tokens, n = mine[x], int(sizes[x])
         least = needed(n)
-        lists = edges[tokens + 1] - edges[tokens]
-        rank = np.argsort(lists, kind="stable")
-        short, long = rank[: n - least + 1], np.sort(tokens[rank[n - least + 1 :]])
-        merged = np.sort(np.concatenate([posting[edges[t] : edges[t + 1]] for t in tokens[short].tolist()]))
-        merged = merged[merged < x]
-        if not len(merged):
-            continue
-        found, count = np.unique(merged, return_counts=True)
-        keep = sizes[found] * 100 >= PERCENT * n
-        for y, c in zip(found[keep].tolist(), count[keep].tolist(), strict=True):
-            if find(x) == find(y):
+        rank = np.argsort(edges[tokens + 1] - edges[tokens], kind="stable")
+        short, long = tokens[rank[: n - least + 1]], tokens[rank[n - least + 1 :]]
+        heads = [posting[edges[t] : np.searchsorted(named, t * len(order) + x)].tolist() for t in short.tolist()]
+        for y, again in groupby(heapq.merge(*[h for h in heads if h])):
+            overlap = sum(1 for _ in again)
+            m = int(sizes[y])
+            if 100 * m < PERCENT * n or find(x) == find(y):
                 continue
-            other = mine[y]
-            at = np.searchsorted(other, long)
-            overlap = c + int(np.count_nonzero(other[np.minimum(at, len(other) - 1)] == long))
-            if 100 * overlap >= PERCENT * (n + len(other) - overlap):
+            wanted = long * len(order) + y
+            at = np.minimum(np.searchsorted(named, wanted), len(named) - 1)
+            overlap += int(np.count_nonzero(named[at] == wanted))
+            if 100 * overlap >= PERCENT * (n + m - overlap):
                 root[find(x)] = find(y)
                 out.append((order[x], order[y]))
     return out
@@ -322,7 +330,7 @@ def t_occurrence(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def link(rows: pa.Table) -> pa.Table:
     groups: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
     for keys, data in zip(rows.column("keys").to_pylist(), rows.column("sets").to_pylist(), strict=True):
-        key, cls, n = unplanes(keys, [8, 8, 3])
+        key, cls, n = unplanes(keys, [8, 8, 4])
         flat = np.frombuffer(data, "<u8")
         edges = np.r_[0, np.cumsum(n.astype(np.int64))].tolist()
         for i, (k, c) in enumerate(zip(key.tolist(), cls.tolist(), strict=True)):
@@ -349,10 +357,12 @@ def components(links: DataFrame, at: str) -> DataFrame:
     while True:
         # Large star: neighbours above a vertex go to its least neighbour; small star: those below.
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = F.least("v", F.min("u").over(Window.partitionBy("v")))
-        large = both.withColumn("m", least).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        low = F.min("u").over(Window.partitionBy("v"))
-        small = large.withColumn("m", low).select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
+        least = both.groupBy("v").agg(F.min("u").alias("least"), F.count("*").alias("times"))
+        found = hot_join(both, least, "v", "u").select("u", "v", F.least("v", "least").alias("m"))
+        large = found.where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        below = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("times"))
+        found = hot_join(large, below, "v", "u")
+        small = found.select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         turn += 1
         after = materialize(small.select("e.v", "e.u").where("u <> v").distinct(), f"{at}/edges-{turn}")
         total = F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
@@ -366,37 +376,38 @@ def text_sig() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def labelled(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
+def labelled(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT, tile: int = TILE) -> DataFrame:
     """doc_id, sig, n and, where n > 0, the component's smallest doc_id, the class's, and the component's first row."""
     at = shared_dir(docs.sparkSession)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = materialize(rows.withColumn("sig", text_sig()).mapInArrow(scan, ddl(SCAN)), f"{at}/scan")
     frequent = seen.where("times IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "gram").limit(hot_limit)
     hot = np.sort(np.array([r["gram"] for r in frequent.collect()], np.int64).view(np.uint64))  # hot_limit numbers at most
-    n = block_count(docs, block_bytes)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    lists = blocks.groupBy("block").applyInArrow(lambda t: send_lists(t, hot, n), ddl(ONE))
-    asked = lists.groupBy("bucket").applyInArrow(centres, ddl(ASK))
-    sketches = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: send_sketches(t, a, hot, n), ddl(TWO))
-    close = sketches.groupBy("bucket").applyInArrow(near, ddl(ASK))
-    sets = blocks.groupBy("block").cogroup(close.groupBy("block")).applyInArrow(lambda t, a: send_sets(t, a, hot, n), ddl(TWO))
-    links = materialize(sets.groupBy("bucket").applyInArrow(link, ddl(LINK)), f"{at}/links")
+    deal = Deal(rows, block_bytes)
+    n = deal.n
+    lists = deal.send(lambda t: send_lists(t, hot, n), ONE)
+    asked = deal.answer(lists, lambda t: centres(t, tile), ASK)
+    sketches = deal.told(asked, lambda t, a: send_sketches(t, a, hot, n), ddl(TWO))
+    close = deal.answer(sketches, near, ASK)
+    sets = deal.told(close, lambda t, a: send_sets(t, a, hot, n), ddl(TWO))
+    links = materialize(deal.answer(sets, link, LINK), f"{at}/links")
     labels = components(links, at)
 
     found = seen.where("cls IS NOT NULL").select("doc_id", "sig", "n", "cls")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sig")
-    least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(own).alias("own_first"))
-    grouped = least.join(labels, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "least", "own_first")
-    names = grouped.groupBy("label").agg(F.min("least").alias("component"), F.min("own_first").alias("first"))
-    of_class = grouped.join(names, "label").select(F.col("cls").alias("__cls"), "component", "least", "first")
-    joined = found.join(of_class, (F.col("cls") == F.col("__cls")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", "sig", "n", "component", "least", "first")
+    least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(own).alias("own_first"), F.count("*").alias("of_class"))
+    grouped = least.join(labels, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "least", "own_first", "of_class")
+    names = grouped.groupBy("label").agg(F.min("least").alias("component"), F.min("own_first").alias("first"), F.count("*").alias("times"))
+    of_class = materialize(hot_join(grouped, names, "label", "cls").select("cls", "component", "least", "first", F.col("of_class").alias("times")), f"{at}/classes")
+    joined = hot_join(found.where("n > 0"), of_class, "cls", "doc_id", "sig").select("doc_id", "sig", "n", "component", "least", "first")
+    wordless = found.where("n = 0").select("doc_id", "sig", "n", *(F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("component", "least", "first")))
+    return joined.unionByName(wordless)
 
 
-def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_limit: int = HOT, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; its own where the set is empty)."""
     of = lambda name: F.when(F.col("n") > 0, F.col(name)).otherwise(F.col("doc_id"))
-    return labelled(docs, block_bytes, hot_limit).select("doc_id", F.col("n").alias("n_shingles"), of("component").alias("component_id"), of("least").alias("class_id"))
+    return labelled(docs, block_bytes, hot_limit, tile).select("doc_id", F.col("n").alias("n_shingles"), of("component").alias("component_id"), of("least").alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import exchange, fingerprints, op1_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_jaccard, op6_counts, op7_sharding, op8_html, op9_parsing, op10_records
+from tessera.llm import blocks, hashing, op1_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_jaccard, op6_counts, op7_sharding, op8_html, op9_parsing, op10_records
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, block int, h long, source string"
@@ -47,7 +47,7 @@ def empty(spark):
 
 
 def rows_of(df, *columns):
-    return sorted(map(repr, map(tuple, df.select(*columns).collect())))
+    return sorted(map(repr, map(tuple, df.select(*(columns or ("*",))).collect())))
 
 
 def sha(x):
@@ -144,19 +144,37 @@ def windows(rows, n):
     return seen
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])  # 0: every group is split by its windows
-def test_substrings(docs, empty, limit, monkeypatch):
-    monkeypatch.setattr(exchange, "GROUP_LIMIT", limit)
+@pytest.mark.parametrize(("limit", "longer_by"), [(200_000, 16), (1, 1_000_000), (0, 1)])  # prefixes of 8, 16 and 35 words
+def test_substrings(docs, empty, limit, longer_by):
     rows = [(d, (x or "").encode().split()) for d, x, *_ in corpus()]
     seen, want = windows(rows, 35), []
     for d, w in rows:
         gone = {j for i in range(len(w) - 34) if len(seen[tuple(w[i : i + 35])]) > 1 for j in range(i, i + 35)}
         want.append((d, len(w), len(gone), sha(b" ".join(x for i, x in enumerate(w) if i not in gone))))
-    assert rows_of(op2_substrings.substring_dedup(docs, block_bytes=2_000), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(repr, want))
+    got = op2_substrings.substring_dedup(docs, block_bytes=2_000, group_limit=limit, longer_by=longer_by)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(repr, want))
     assert op2_substrings.substring_dedup(empty).count() == 0
 
 
-def test_parsing(docs, empty):
+def test_inner_nodes():
+    rng = np.random.default_rng(3)
+    strings = [tuple(x) for x in rng.integers(0, 3, (300, 5)).tolist()]
+    order, common, nodes = op2_substrings.inner_nodes([np.array(x, np.uint64) for x in zip(*strings, strict=True)])
+    ordered = [strings[i] for i in order]
+    assert ordered == sorted(strings)
+    shared = [next((k for k in range(5) if a[k] != b[k]), 5) for a, b in zip(ordered, ordered[1:])]
+    assert common.tolist() == shared
+    want = {}
+    for k in range(1, 6):
+        for head in {x[:k] for x in strings}:
+            at = [i for i, x in enumerate(ordered) if x[:k] == head]
+            if len(at) > 1:
+                want[at[0], at[-1] + 1] = k  # the deepest of equal intervals stays
+    assert {(lo, hi): k for k, lo, hi in nodes} == want and len(nodes) == len(want)
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])  # 0: strings whose trigger has several phrases travel one by one
+def test_parsing(docs, empty, limit):
     rows = [(d, (x or "").encode()) for d, x, *_ in corpus()]
     seen, want = windows(rows, 50), []
     for d, b in rows:
@@ -166,30 +184,93 @@ def test_parsing(docs, empty):
                 gone[i : i + 50] = [True] * 50
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         want.append((d, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone) if not g))))
-    assert rows_of(op9_parsing.suffix_dedup(docs, block_bytes=2_000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(map(repr, want))
+    got = op9_parsing.suffix_dedup(docs, block_bytes=2_000, group_limit=limit)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(map(repr, want))
     left = op9_parsing.remove_repeats(docs, block_bytes=2_000)
     assert left.columns == docs.columns and left.count() == len(rows)
     assert op9_parsing.remove_repeats(empty).count() == 0
 
 
+def test_corpus_order():
+    """Strings of a parse have equal numbers if and only if their bytes are equal; every string is in one phrase."""
+    rng = random.Random(9)
+    for letters, size in (("ab", 900), ("a", 300), ("abcdefgh", 4000)):
+        text = "".join(rng.choice(letters) for _ in range(size))
+        text = (text + text[100:260] + "#" + text[:150] * 2).encode()
+        p = op9_parsing.Phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert sorted(i for a, b in zip(p.start, p.last) for i in range(a, b + 1)) == list(range(len(text) - 49))
+        for a, b, t in zip(p.start.tolist(), p.last.tolist(), p.trigger.tolist()):
+            for i in range(a, b + 1):
+                assert i <= t <= i + 32
+        pieces = [text[a : b + 50] for a, b in zip(p.start, p.last)]
+        first = np.r_[0, np.cumsum([len(x) for x in pieces])]
+        phrase, string, number = op9_parsing.corpus_order(np.frombuffer(b"".join(pieces), np.uint8), first, p.last - p.start + 1, p.trigger - p.start)
+        strings = [pieces[i][j : j + 50] for i, j in zip(phrase, string)]
+        assert len(strings) == len(text) - 49
+        assert len(set(zip(strings, number.tolist()))) == len(set(strings)) == len(set(number.tolist()))
+
+
+def test_sorted_sides():
+    rng = random.Random(2)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 32))).encode() for _ in range(400)] + [b"a\0", b"a", b"a"]
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.array([len(x) for x in strings])
+    order, common = op9_parsing.in_order(op9_parsing.numbers(data, np.cumsum(size) - size, size, 32), size)
+    ordered = [strings[i] for i in order]
+    assert ordered == sorted(strings)
+    assert common.tolist() == [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(ordered, ordered[1:])]
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_to_defeat_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement have equal values under any polynomial modulo a power of two."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    schema = "doc_id long, text string"
+    got = op5_jaccard.jaccard_components(spark.createDataFrame([(1, x), (2, y), (3, " ".join([x] * 3)), (4, " ".join([y] * 3))], schema))
+    assert rows_of(got, "doc_id", "component_id") == sorted(repr((d, d)) for d in (1, 2, 3, 4))
+    head = " ".join(f"w{i}" for i in range(34))
+    got = op2_substrings.substring_dedup(spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}")], schema), block_bytes=1_000)
+    assert rows_of(got, "doc_id", "n_removed") == sorted(repr((d, 0)) for d in (1, 2))
+    words = [" ".join(w) for w in (thue_morse(64, "a", "b"), thue_morse(64, "b", "a"))]
+    got = op2_substrings.substring_dedup(spark.createDataFrame(list(enumerate(words)), schema), block_bytes=50)
+    same = {tuple(w.split()[i : i + 35]) for w in words[:1] for i in range(30)} & {tuple(w.split()[i : i + 35]) for w in words[1:] for i in range(30)}
+    assert not same and rows_of(got, "n_removed") == ["(0,)", "(0,)"]
+    got = op9_parsing.suffix_dedup(spark.createDataFrame([(1, x[:64]), (2, y[:64])], schema), block_bytes=50)
+    first, second = ({w[i : i + 50] for i in range(15)} for w in (x[:64], y[:64]))
+    assert not first & second and rows_of(got, "n_removed") == ["(0,)", "(0,)"]
+
+
 def test_positions_beyond_their_bits():
     rng = np.random.default_rng(2)
     for top in (2, 1 << 40):  # many ties, none
         grams = rng.integers(0, top, 900).astype(np.uint64) << np.uint64(8)
         want = [i + int(np.argmin(grams[i : i + 28])) for i in range(len(grams) - 27)]
-        assert fingerprints.first_least(grams, 28, 8).tolist() == want == fingerprints.first_least(grams, 28, 5).tolist()
-    assert fingerprints.first_least(grams[:20], 28, 8).tolist() == []
+        assert hashing.first_least(grams, 28, 8).tolist() == want == hashing.first_least(grams, 28, 5).tolist()
+    assert hashing.first_least(grams[:20], 28, 8).tolist() == []
 
 
 def test_passage_beyond_the_bits_of_a_place():
-    """A passage past symbol 2**24 of one text has the anchors and groups of its copy in a short one."""
-    passage = np.random.default_rng(4).integers(1, 1 << 60, 200).astype(np.uint64)
-    far = np.concatenate([np.full((1 << 24) + 3, 7, np.uint64), passage])
-    long, short = (fingerprints.Runs(v, np.array([0, len(v)]), 50, 18) for v in (far, passage))
-    inner = slice(1, -1)  # runs that lie inside the passage
+    """A passage past byte 2**24 of one text has the triggers and phrases of its copy in a short one."""
+    passage = np.random.default_rng(4).integers(0, 256, 200).astype(np.uint8)
+    far = np.concatenate([np.full((1 << 24) + 3, 7, np.uint8), passage])
+    long, short = (op9_parsing.Phrases(v, np.array([0, len(v)])) for v in (far, passage))
+    inner = slice(1, -1)  # phrases that lie inside the passage
     assert len(short.group) > 5 and set(short.group.tolist()) <= set(long.group.tolist())
     assert set(short.content[inner].tolist()) <= set(long.content.tolist())
-    assert int(long.anchor.max()) > 1 << 24
+    assert int(long.trigger.max()) > 1 << 24
+
+
+def test_names_in_buckets():
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
+    for n in (1, 2, 3, 7, 64, 1000):
+        where = blocks.bucket_of(h, n)
+        name = blocks.name_in_bucket(h, where, n)
+        assert where.min() >= 0 and where.max() < n and int(name.max()) < 1 << 32
+        for _, part in blocks.cut(where):
+            assert (np.diff(name[part].astype(np.int64)) >= 0).all()
 
 
 def test_jaccard(docs, empty):
@@ -226,7 +307,7 @@ def test_jaccard_wordless_slices(spark):
     got = op5_jaccard.jaccard_components(spark.createDataFrame(wordless, schema))
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(repr((d, 0, d)) for d, _ in wordless)
     long = " ".join(f"w{i}" for i in range(80_000))
-    assert len(long) > fingerprints.SLICE
+    assert len(long) > op5_jaccard.SLICE
     got = op5_jaccard.jaccard_components(spark.createDataFrame([*wordless, (4, long), (5, long + " end")], schema))
     want = [*((d, 0, d) for d, _ in wordless), (4, 79_996, 4), (5, 79_997, 4)]
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(map(repr, want))
@@ -249,10 +330,42 @@ def test_keep_first_row_by_row(spark):
     assert kept == {(1, "a"): 1, (None, "b"): 1, (2, "c"): 1, (None, "d"): 1, (3, "e"): 1, (4, "f"): 1, (5, ""): 2, (None, ""): 2}
 
 
-def test_jaccard_tiles(docs, monkeypatch):
+def test_jaccard_tiles(docs):
     whole = rows_of(op5_jaccard.jaccard_components(docs, block_bytes=2_000), "doc_id", "component_id")
-    monkeypatch.setattr(op5_jaccard, "TILE", 3)
-    assert rows_of(op5_jaccard.jaccard_components(docs, block_bytes=2_000, hot_limit=0), "doc_id", "component_id") == whole
+    assert rows_of(op5_jaccard.jaccard_components(docs, block_bytes=2_000, hot_limit=0, tile=3), "doc_id", "component_id") == whole
+
+
+def test_t_occurrence():
+    rng = random.Random(4)
+    base = rng.sample(range(10_000), 60)
+    sets = [np.array(sorted({*rng.sample(base, rng.randint(50, 60)), *rng.sample(range(10_000, 10_020), rng.randint(0, 6))}), np.uint64) for _ in range(50)]
+    links = [(i, j) for i in range(50) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(pairs):
+        root = list(range(50))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in pairs:
+            root[find(i)] = find(j)
+        return {frozenset(k for k in range(50) if find(k) == find(i)) for i in range(50)}
+
+    found = op5_jaccard.t_occurrence(sets)
+    assert set(map(lambda p: tuple(sorted(p, reverse=True)), found)) <= set(links) and groups(found) == groups(links)
+
+
+def test_hot_join(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(k, k) for k in range(2, 40)], "k long, x long").repartition(3)
+    right = left.groupBy("k").agg(F.count("*").alias("times"), F.max("x").alias("top"))
+    got = common.hot_join(left, right, "k", "x")
+    assert got.columns == ["k", "x", "top"]
+    assert rows_of(got) == rows_of(left.join(right.drop("times"), "k"))
 
 
 def test_decontaminate(spark, docs, empty):
