@@ -50,16 +50,24 @@ def text_bytes(df: DataFrame) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below the cluster's shared checkpoint folder."""
+    """A new folder's URI below the cluster's shared checkpoint folder; it is deleted when the session's process ends.
+
+    Where no such folder is set, a local session takes a temporary one; on a cluster that is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def materialize(df: DataFrame, at: str) -> DataFrame:

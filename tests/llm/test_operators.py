@@ -395,6 +395,33 @@ def test_decontaminate(spark, docs, empty):
     assert op4_decontaminate.keep_clean(docs, bench).count() == sum(not r[-1] for r in want)
     assert op4_decontaminate.decontaminate(empty, bench).count() == 0
     assert not [n for n in ("Python", "Arrow", "Pandas") if n in got._jdf.queryExecution().toString()]
+    none = op4_decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))
+    assert none.count() == len(rows) and none.where("contaminated OR n_hit > 0 OR n_items > 0").count() == 0
+
+
+def test_decontaminate_shuffled_and_nameless(spark, docs, monkeypatch):
+    """The joins beyond the broadcast's limits give the same rows; an item without item_id counts."""
+    items = spark.createDataFrame([(1, corpus()[0][1]), (None, corpus()[12][1])], "item_id long, text string")
+    want = rows_of(op4_decontaminate.decontaminate(docs, items))
+    assert any("(0, " in r and "True" in r for r in want)
+    monkeypatch.setattr(op4_decontaminate, "BROADCAST_BYTES", 0)
+    assert rows_of(op4_decontaminate.decontaminate(docs, items)) == want
+    hit = op4_decontaminate.decontaminate(docs, items).where("doc_id = 12").first()
+    assert hit["n_items"] == 2 and hit["items_sha256"] == sha(",1")
+
+
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    near = item.replace("gamma", "gamma inserted")
+    far = item.replace("gamma", "gamma one two three four five six")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, near), (3, far), (4, "alpha kappa " * 3), (5, "beta " * 60 + "gamma " * 50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha " + item[6:])], "item_id long, text string")
+    filler = [(10 + i, f"{w} " * 9) for i, w in enumerate(item.split()) if w not in ("beta", "theta")]  # beta and theta are the rarest
+    docs = docs.where("doc_id <> 5").unionByName(spark.createDataFrame(filler, docs.schema))
+    found = lambda slop: sorted((r["doc_id"], r["start"], r["exact"]) for r in op4_decontaminate.find(docs, bench, slop)[2].collect())
+    assert found(0) == [(1, 2, True)]
+    assert found(1) == [(1, 2, True), (2, 1, False)]
+    assert found(6) == [(1, 2, True), (2, 1, False), (3, 1, False)]
 
 
 def test_sharding(docs, empty):
