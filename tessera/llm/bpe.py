@@ -31,8 +31,8 @@ NEVER = 1 << 40
 INF, NO_PAIR = np.int64(NEVER), (NEVER, -1)
 #: White space as the splitting patterns of the tokenizer files see it (fixed values).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Distinct words remembered by a worker; beyond it the memory starts afresh.
-CACHE_WORDS = 150_000
+#: Distinct words remembered by a worker, beyond which the memory starts afresh; longer words are forgotten after each slice.
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -160,8 +160,8 @@ class Merges:
                     heapq.heappush(heap, (r, u, word[u], word[v], m))
         return [t for t in word if t >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Tokens of each word; words should be distinct."""
+    def proposed(self, words: list[str]) -> tuple[list[str], list[list[int] | None], np.ndarray, np.ndarray]:
+        """(symbols, proposed tokens, their numbers, whether the proposal fails) of each word."""
         text = [self.symbols(w) for w in words]
         out = [self.speculate(s) for s in text]
         sizes = np.fromiter((0 if o is None else len(o) for o in out), np.int64, len(out))
@@ -171,10 +171,22 @@ class Merges:
         failed[owner[~self.sound[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         failed[owner[inside[~self.compatible(flat[inside], flat[inside + 1])]]] = True
+        return text, out, sizes, failed
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Tokens of each word; words should be distinct."""
+        text, out, _, failed = self.proposed(words)
         for i in np.flatnonzero(failed):
             out[i] = self.exact(text[i])
         return out
 
+    def count_words(self, words: list[str]) -> list[int]:
+        """Number of tokens of each word: that of the proposal, or of the exact merges where it fails."""
+        text, _, sizes, failed = self.proposed(words)
+        for i in np.flatnonzero(failed):
+            sizes[i] = len(self.exact(text[i]))
+        return sizes.tolist()
+
 
 @lru_cache(maxsize=1)
 def unassigned() -> str:

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, Tokenizer, load
+from .bpe import CACHE_CHARS, CACHE_WORDS, Tokenizer, load
 from .common import bounded, slices, tidy
 
 #: For each tokenizer of the worker: word -> ids as text, word -> decoded text.
 _words: dict[str, tuple[dict[str, str], dict[str, str]]] = {}
 
 
-def learn(tok: Tokenizer, ids_of: dict[str, str], text_of: dict[str, str], lists: list[list[str]]) -> None:
-    """Encode and decode the words that the worker hasn't met yet."""
+def learn(tok: Tokenizer, ids_of: dict[str, str], text_of: dict[str, str], lists: list[list[str]]) -> list[str]:
+    """Encode and decode the words that the worker hasn't met yet; those too long to be remembered are returned."""
     if len(ids_of) > 2 * CACHE_WORDS:
         ids_of.clear()
         text_of.clear()
@@ -31,6 +31,7 @@ def learn(tok: Tokenizer, ids_of: dict[str, str], text_of: dict[str, str], lists
     for word, ids in zip(new, tok.merges.encode_words(new), strict=True):
         ids_of[word] = " ".join(map(str, ids))
         text_of[word] = tok.decode_words(ids)
+    return [w for w in new if len(w) > CACHE_CHARS]
 
 
 def numbers(lines: list[str], counts: list[int]) -> pa.Array:
@@ -48,7 +49,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, texts: bool) ->
         for part in slices(batch, "text", 2_000_000):
             pieces = [tok.segments(t or "") for t in part.column("text").to_pylist()]
             words = [[tok.pretokens(s) if i is None else (s, i) for s, i in doc] for doc in pieces]
-            learn(tok, ids_of, text_of, [w for doc in words for w in doc if isinstance(w, list)])
+            long = learn(tok, ids_of, text_of, [w for doc in words for w in doc if isinstance(w, list)])
             counts, ids, decoded = [], [], []
             for doc in words:
                 found, texts_found = [], []
@@ -59,6 +60,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, texts: bool) ->
                 counts.append(line.count(" ") + 1 if line else 0)
                 ids.append(line)
                 decoded.append(glue.join(filter(None, texts_found)))
+            for w in long:
+                del ids_of[w], text_of[w]
             columns = [part.column("doc_id"), pa.array(counts, pa.int64())]
             columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in v], pa.string()) for v in (ids, decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -1,10 +1,14 @@
 """Token counts: pieces counted once per distinct pre-token, joined to the
-pre-token frequencies of each document and summed. No ids are kept.
+pre-token frequencies of each document and summed. Pieces are counted from the greedy proposals; lists of
+ids are made for words whose proposal fails only, and dropped at once.
 
-The join is local to a worker: its dictionary of pre-tokens meets the documents
-where they are, so nothing is shuffled. (A shuffled join moves a row for nearly
-every word of the corpus.) The dictionary is bounded and starts afresh when full.
-Null text counts as empty with 0 tokens; repeated rows give repeated rows.
+The join is local to a worker: its dictionary of pre-tokens meets the documents where they are, so nothing is
+shuffled, and a pre-token is counted once for each worker that meets it. (A shuffled join that counts it
+once in all moves a row for every different word of every document; the README has figures.) The dictionary is bounded
+in words and characters and starts afresh when full.
+
+Null text counts as empty with 0 tokens; repeated rows give repeated rows; a very long text is a slice of its own;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, load
+from .bpe import CACHE_CHARS, CACHE_WORDS, load
 from .common import bounded, slices, tidy
 
 _pieces: dict[str, dict[str, int]] = {}
@@ -44,8 +48,11 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> I
             if len(pieces) > 4 * CACHE_WORDS:
                 pieces.clear()
             new = list(set().union(*frequencies).difference(pieces))
-            pieces.update(zip(new, map(len, tok.merges.encode_words(new)), strict=True))
+            pieces.update(zip(new, tok.merges.count_words(new), strict=True))
             totals = [e + sum(n * pieces[w] for w, n in f.items()) for e, f in zip(special, frequencies, strict=True)]
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del pieces[w]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
