@@ -51,6 +51,10 @@ class Spark:
     def join(self, a: str, by: str) -> str:
         return f"array_join({a}, '{by}')"
 
+    def distinct(self, a: str) -> str:
+        """Number of different items."""
+        return f"CAST(size(array_distinct({a})) AS BIGINT)"
+
     def sort(self, a: str) -> str:
         return f"array_sort({a})"
 
@@ -132,6 +136,9 @@ class Duck(Spark):
     def join(self, a: str, by: str) -> str:
         return f"array_to_string({a}, '{by}')"
 
+    def distinct(self, a: str) -> str:
+        return f"CAST(len(list_distinct({a})) AS BIGINT)"
+
     def sort(self, a: str) -> str:
         return f"list_sort({a})"
 

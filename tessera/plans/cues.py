@@ -25,6 +25,11 @@ def cues(d: Spark) -> str:
     )
 
 
+def english(lang: str) -> str:
+    """Whether a language tag asks for the English profile: none, an empty one, or any kind of English."""
+    return f"(coalesce({lang}, '') = '' OR lower(trim({lang})) = 'en' OR lower(trim({lang})) LIKE 'en-%' OR lower(trim({lang})) LIKE 'en!_%' ESCAPE '!')"
+
+
 def band(gap: str) -> str:
     return f"CASE WHEN {gap} <= 500 THEN 'normal' WHEN {gap} <= 1500 THEN 'medium' WHEN {gap} < 30000 THEN 'large' ELSE 'extreme' END"
 
@@ -50,57 +55,86 @@ def boundaries(d: Spark) -> str:
 
 def signals(d: Spark) -> str:
     """Boundaries with both sides' visible text and words, and the English signals (0 and false elsewhere)."""
+    return f"{boundaries(d)}, {signals_of(d, 'boundaries')}"
+
+
+def signals_of(d: Spark, rows: str) -> str:
+    """Signals of any rows with lang, lcue and rcue."""
     e = T.English(d)
     return (
-        f"{boundaries(d)}, sides AS (SELECT *, {d.extract_all('lv', T.ENGLISH_WORD)} AS lw, {d.extract_all('rv', T.ENGLISH_WORD)} AS rw FROM"
-        f" (SELECT *, {T.visible(d, 'lcue')} AS lv, {T.visible(d, 'rcue')} AS rv FROM boundaries) a),"
-        f" scored AS (SELECT *, CASE WHEN lang = 'en' THEN {e.score()} ELSE CAST(0 AS BIGINT) END AS score, CASE WHEN lang = 'en' THEN {e.join_issue('lcue', 'rcue')} END AS issue FROM sides),"
-        f" signals AS (SELECT *, (lang = 'en' AND {e.independent('score')}) AS independent FROM scored)"
+        f"sides AS (SELECT *, {d.extract_all('lv', T.ENGLISH_WORD)} AS lw, {d.extract_all('rv', T.ENGLISH_WORD)} AS rw FROM"
+        f" (SELECT *, {T.visible(d, 'lcue')} AS lv, {T.visible(d, 'rcue')} AS rv FROM {rows}) a),"
+        f" scored AS (SELECT *, CASE WHEN {english('lang')} THEN {e.score()} ELSE CAST(0 AS BIGINT) END AS score, CASE WHEN {english('lang')} THEN {e.join_issue('lcue', 'rcue')} END AS issue FROM sides),"
+        f" signals AS (SELECT *, ({english('lang')} AND {e.independent('score')}) AS independent FROM scored)"
     )
 
 
 def threshold(kind: int) -> str:
     """Profile limits: kind 0 joins below, kind 1 breaks above."""
-    english = {"normal": (0.50, 0.50), "medium": (0.20, 0.20), "other": (0.05, 0.05)}
+    limits = {"normal": (0.50, 0.50), "medium": (0.20, 0.20), "other": (0.05, 0.05)}
     neutral = {"normal": (0.40, 0.60), "medium": (0.15, 0.30), "other": (0.03, 0.10)}
 
     def of(t: dict) -> str:
         return f"CASE band WHEN 'normal' THEN {t['normal'][kind]} WHEN 'medium' THEN {t['medium'][kind]} ELSE {t['other'][kind]} END"
 
-    return f"CASE WHEN lang = 'en' THEN {of(english)} ELSE {of(neutral)} END"
+    return f"CASE WHEN {english('lang')} THEN {of(limits)} ELSE {of(neutral)} END"
 
 
-def decisions(d: Spark) -> str:
-    """The policy: hard reasons first, then the soft rules, the first match wins."""
+def soft() -> str:
+    """The soft rules for a known p: the first match wins."""
     config = "CASE band " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONFIG_JOIN.items()) + " END"
-    hard = (
-        "CASE WHEN next_start < start_ms THEN 'cue order is invalid'"
-        " WHEN gap_ms > 30000 THEN concat('cue gap ', CAST(gap_ms AS VARCHAR(20)), 'ms exceeds extreme-gap threshold 30000ms')"
-        " WHEN issue IS NOT NULL THEN concat('joining would corrupt text: ', issue) END"
-    )
-    soft = (
+    return (
         f"CASE WHEN score >= 3 AND p <= 0.95 AND (band = 'normal' OR p < {config}) THEN 'join' WHEN independent AND score < 3 THEN 'break'"
         f" WHEN band IN ('large', 'extreme') THEN 'break' WHEN p < {threshold(0)} THEN 'join' WHEN p > {threshold(1)} THEN 'break' ELSE 'uncertain' END"
     )
+
+
+GAP_REASON = "WHEN gap_ms > 30000 THEN concat('cue gap ', CAST(gap_ms AS VARCHAR(20)), 'ms exceeds extreme-gap threshold 30000ms')"
+TEXT_REASON = "WHEN issue IS NOT NULL THEN concat('joining would corrupt text: ', issue)"
+
+
+def decisions(d: Spark) -> str:
+    """The policy over cues without speakers: hard reasons first, then the soft rules."""
+    hard = f"CASE WHEN next_start < start_ms THEN 'cue order is invalid' {GAP_REASON} {TEXT_REASON} END"
     return (
         f"{signals(d)}, judged AS (SELECT *, {hard} AS hard FROM (SELECT *, {band('gap_ms')} AS band FROM signals) a),"
-        f" decisions AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'break' WHEN p IS NULL THEN 'uncertain' ELSE {soft} END AS decision FROM judged)"
+        f" decisions AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'break' WHEN p IS NULL THEN 'uncertain' ELSE {soft()} END AS decision FROM judged)"
     )
 
 
 def sentences(d: Spark) -> str:
-    """Cues with the number of their sentence: a running count of the boundaries that don't join."""
-    w = "OVER (PARTITION BY c.source_id ORDER BY c.ordinal)"
+    """Cues with the number of their sentence: a running count of the boundaries that don't join.
+
+    The last cue of a source is a boundary without a right side, so every cue is a row of the decisions and
+    its own left boundary is the row before: one scan, one shuffle, no join.
+    """
+    w = "OVER (PARTITION BY source_id ORDER BY ordinal)"
+    said = f"({english('lang')})"
     return (
-        f"{decisions(d)}, numbered AS (SELECT c.*, CAST(sum(CASE WHEN b.decision = 'join' THEN 0 ELSE 1 END) {w} AS BIGINT) AS sentence_id,"
-        f" b.lcue AS before FROM cues c LEFT JOIN decisions b ON b.source_id = c.source_id AND b.ordinal = c.ordinal - 1),"
-        f" parts AS (SELECT *, CASE WHEN ordinal = first_ordinal THEN '' WHEN {T.attaches(d, 'before', 'cue', chr(40) + 'lang = ' + chr(39) + 'en' + chr(39) + chr(41))} THEN '' ELSE ' ' END AS sep"
-        f" FROM (SELECT *, min(ordinal) OVER (PARTITION BY source_id, sentence_id) AS first_ordinal FROM numbered) a),"
+        f"{decisions(d).replace('a WHERE rcue IS NOT NULL', 'a')}, numbered AS (SELECT *, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) {w} AS BIGINT) AS sentence_id FROM"
+        f" (SELECT source_id, lang, ordinal, lcue AS cue, start_ms, end_ms, lag(lcue) {w} AS before, coalesce(lag(decision) {w} = 'join', false) AS joins FROM decisions) a),"
+        f" parts AS (SELECT *, CASE WHEN NOT joins THEN '' WHEN {T.attaches(d, 'before', 'cue', said)} THEN '' ELSE ' ' END AS sep FROM numbered),"
         f" sentences AS (SELECT source_id, sentence_id, min(start_ms) AS start_ms, {d.greatest_by('end_ms', 'ordinal')} AS end_ms, count(*) AS n_cues, min(ordinal) AS first_ordinal,"
         f" {d.listagg('concat(sep, cue)', '', 'ordinal')} AS sentence FROM parts GROUP BY source_id, sentence_id)"
     )
 
 
+#: Where proposed sentences end: after every 25th letter e, for want of a model; so they end inside of cues.
+PROPOSED = r"(?:[^e]*e){25}|.+$"
+
+
+def proposed(d: Spark) -> str:
+    """Cue spans in the text of a source (cues joined by a space), and the trimmed spans of its proposed sentences."""
+    w = "OVER (PARTITION BY source_id ORDER BY ordinal)"
+    pieces = d.unnest("pieces", "source_id", "whole", "s", "piece")
+    return (
+        f"spans AS (SELECT source_id, ordinal, CAST(sum(length(cue) + 1) {w} - length(cue) - 1 AS BIGINT) AS start, CAST(sum(length(cue) + 1) {w} - 1 AS BIGINT) AS stop FROM cues),"
+        f" whole AS (SELECT source_id, {d.extract_all(d.listagg('cue', ' ', 'ordinal'), PROPOSED)} AS pieces FROM cues GROUP BY source_id),"
+        f" placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY source_id ORDER BY s) AS BIGINT) AS ends FROM ({pieces}) a),"
+        f" sentences AS (SELECT source_id, s, ends - length(piece) + length(piece) - length(ltrim(piece)) AS start, ends - length(piece) + length(rtrim(piece)) AS stop FROM placed WHERE trim(piece) <> '')"
+    )
+
+
 def scenes_of(d: Spark) -> str:
     """Scenes of a source: a new one after a gap of five seconds or 200 cues."""
     w = "OVER (PARTITION BY source_id ORDER BY ordinal)"

@@ -14,59 +14,102 @@ def pick(d: Spark, key: str, values: tuple[str, ...]) -> str:
 
 
 def ledger(d: Spark) -> str:
-    """The events table read as an append-only review ledger, three events on a boundary; event_id is the order of events."""
+    """The events table read as an append-only review ledger, three events on a boundary; event_id is the order of events. Some events break rules."""
+    kind = "CASE WHEN event_id % 43 = 7 THEN 'note' WHEN event_id % 10 = 9 THEN 'adjudication' ELSE 'review' END"
     return (
-        f"ledger AS (SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN 'adjudication' ELSE 'review' END AS event_type, concat('b', CAST({d.div('event_id', '3')} * 2 AS VARCHAR(20))) AS boundary_id,"
-        f" CAST({d.div('event_id', '3')} * 2 AS BIGINT) AS b, concat('rv', CAST({d.div('event_id', '2')} + event_id % 2 * 100000 AS VARCHAR(12))) AS review_id, {pick(d, 'event_id * 7 + user_id', ('ana', 'ben', 'cruz', 'dia'))} AS reviewer,"
-        f" CAST(1 + event_id % 2 AS BIGINT) AS round, {pick(d, 'event_id * 5 + user_id * 3', (*LABELS, 'JOIN', 'MAYBE'))} AS label, {pick(d, 'event_id * 3', ('high', 'medium', 'low'))} AS confidence,"
-        " CASE WHEN event_id % 41 = 0 THEN '' ELSE event_type END AS reason, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'human' END AS origin FROM events)"
+        f"ledger AS (SELECT event_id AS seq, {kind} AS event_type, concat('b', CAST({d.div('event_id', '3')} * 2 AS VARCHAR(20))) AS boundary_id,"
+        f" CAST({d.div('event_id', '3')} * 2 AS BIGINT) AS b, CASE WHEN event_id % 47 = 3 THEN '' ELSE concat('rv', CAST({d.div('event_id', '2')} + event_id % 2 * 100000 - (CASE WHEN event_id % 59 = 4 THEN 2 ELSE 0 END) AS VARCHAR(12))) END AS review_id,"
+        f" CASE WHEN event_id % 53 = 11 THEN '' ELSE {pick(d, 'event_id * 7 + user_id', ('ana', 'ben', 'cruz', 'dia'))} END AS reviewer,"
+        f" CASE WHEN event_id % 20 = 9 THEN NULL WHEN event_id % 37 = 5 THEN CAST(3 AS BIGINT) ELSE CAST(1 + event_id % 2 AS BIGINT) END AS round,"
+        f" {pick(d, 'event_id * 5 + user_id * 3', (*LABELS, 'JOIN', 'MAYBE'))} AS label, {pick(d, 'event_id * 3 + user_id', ('high', 'medium', 'low', 'high', 'medium', 'sure'))} AS confidence,"
+        " CASE WHEN event_id % 41 = 0 THEN '' ELSE event_type END AS reason, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'human' END AS origin, CASE WHEN event_id % 61 = 8 THEN NULL ELSE ts END AS created_at FROM events)"
     )
 
 
+#: Rules that each event of a known type and boundary must hold to; the first two decide what an event is checked for at all.
 ROW_RULES = (
-    ("label", "label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS')"),
-    ("reason", "trim(reason) = ''"),
-    ("origin", "origin NOT IN ('human', 'silver')"),
-    ("round", "round NOT IN (1, 2)"),
-    ("confidence", "confidence NOT IN ('high', 'medium', 'low')"),
+    ("duplicate reviewId", "review_id <> '' AND nth > 1"),
+    ("missing reviewId", "review_id = ''"),
+    ("missing reviewerId", "reviewer = ''"),
+    ("invalid reviewRound", "event_type = 'review' AND (round IS NULL OR round < 1)"),
+    ("reviewRound not 1 or 2", "event_type = 'review' AND round > 2"),
+    ("adjudication must not have reviewRound", "event_type = 'adjudication' AND round IS NOT NULL"),
+    ("invalid label", "label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS')"),
+    ("invalid confidence", "confidence NOT IN ('high', 'medium', 'low')"),
+    ("invalid labelOrigin", "origin <> 'human'"),
+    ("missing or empty reason", "reason = ''"),
+    ("missing createdAt", "created_at IS NULL"),
 )
 
 
+def checked(d: Spark) -> str:
+    return (
+        f"{ledger(d)}, typed AS (SELECT l.*, k.known FROM ledger l LEFT JOIN (SELECT DISTINCT concat('b', CAST(doc_id AS VARCHAR(20))) AS bid, true AS known FROM documents) k ON k.bid = l.boundary_id),"
+        f" valid AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY seq) AS nth FROM typed WHERE event_type IN ('review', 'adjudication') AND known)"
+    )
+
+
 def ledger_errors(d: Spark) -> str:
-    """Row rules, one row for each broken one, and rules across a boundary's events."""
-    rows = " UNION ALL ".join(f"SELECT boundary_id, seq, '{n}' AS error FROM ledger WHERE {c}" for n, c in ROW_RULES)
-    if d.name == "spark":  # one pass over the ledger
-        flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ROW_RULES)
-        rows = f"SELECT boundary_id, seq, error FROM (SELECT boundary_id, seq, explode(array_compact(array({flags}))) AS error FROM ledger) x"
-    across = (
-        "SELECT boundary_id, max(seq) AS seq, 'same reviewer twice in a round' AS error FROM ledger WHERE event_type = 'review' GROUP BY boundary_id, reviewer, round HAVING count(*) > 1"
-        " UNION ALL SELECT boundary_id, max(seq) AS seq, 'round 2 without round 1' AS error FROM ledger WHERE event_type = 'review' GROUP BY boundary_id HAVING max(round) = 2 AND min(round) = 2"
-        " UNION ALL SELECT boundary_id, max(seq) AS seq, 'adjudication without two labels' AS error FROM ledger GROUP BY boundary_id"
-        " HAVING sum(CASE WHEN event_type = 'adjudication' THEN 1 ELSE 0 END) > 0 AND count(DISTINCT CASE WHEN event_type = 'review' THEN label END) < 2"
+    """One row for each broken rule: of an event (its seq), or of a boundary's events (seq -1)."""
+    flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ROW_RULES)
+    of = "OVER (PARTITION BY boundary_id)"
+    return (
+        f"WITH {checked(d)}, noted AS (SELECT *, sum(CASE WHEN round = 1 THEN 1 ELSE 0 END) {of} AS ones, min(CASE WHEN round = 1 THEN seq END) {of} AS first_one, min(CASE WHEN round = 2 THEN seq END) {of} AS first_two FROM valid),"
+        f" latest AS (SELECT boundary_id, reviewer, label FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id, reviewer ORDER BY seq DESC) AS back FROM valid WHERE event_type = 'review' AND reviewer <> '' AND label <> '') x WHERE back = 1),"
+        f" opinions AS (SELECT boundary_id, count(DISTINCT label) AS n FROM latest GROUP BY boundary_id)"
+        f" SELECT boundary_id, seq, CASE WHEN event_type NOT IN ('review', 'adjudication') THEN 'unknown eventType' ELSE 'unknown boundaryId' END AS error FROM typed WHERE event_type NOT IN ('review', 'adjudication') OR known IS NULL"
+        f" UNION ALL SELECT boundary_id, seq, error FROM (SELECT boundary_id, seq, explode(array_compact(array({flags}))) AS error FROM valid) r"
+        f" UNION ALL SELECT boundary_id, -1, 'one reviewer did both rounds' FROM valid WHERE event_type = 'review' AND reviewer <> '' GROUP BY boundary_id, reviewer HAVING count(DISTINCT CASE WHEN round IN (1, 2) THEN round END) = 2"
+        f" UNION ALL SELECT boundary_id, seq, 'round two without round one' FROM noted WHERE round = 2 AND ones = 0"
+        f" UNION ALL SELECT boundary_id, -1, 'round two before round one' FROM noted GROUP BY boundary_id HAVING max(CASE WHEN seq = first_one THEN created_at END) > max(CASE WHEN seq = first_two THEN created_at END)"
+        f" UNION ALL SELECT v.boundary_id, -1, 'adjudication without disagreement' FROM (SELECT DISTINCT boundary_id FROM valid WHERE event_type = 'adjudication') v LEFT JOIN opinions o ON o.boundary_id = v.boundary_id WHERE coalesce(o.n, 0) < 2"
+        f" UNION ALL SELECT r.boundary_id, r.seq, 'review after adjudication' FROM valid a JOIN valid r ON r.boundary_id = a.boundary_id AND r.created_at > a.created_at WHERE a.event_type = 'adjudication' AND r.event_type = 'review'"
+        f" UNION ALL SELECT boundary_id, -1, 'several reviews of one reviewer and round' FROM valid WHERE event_type = 'review' AND reviewer <> '' AND round IS NOT NULL GROUP BY boundary_id, reviewer, round HAVING count(*) > 1"
     )
-    return f"WITH {ledger(d)} SELECT boundary_id, seq, error FROM ({rows}) r UNION ALL SELECT boundary_id, seq, error FROM ({across}) a"
 
 
 def states(d: Spark) -> str:
-    """The last adjudication wins; else the latest review of each reviewer, agreement or AMBIGUOUS."""
-    latest = "row_number() OVER (PARTITION BY boundary_id, event_type, CASE WHEN event_type = 'review' THEN reviewer END ORDER BY seq DESC)"
-    return (
-        f"{ledger(d)}, newest AS (SELECT * FROM (SELECT *, {latest} AS r FROM ledger WHERE label <> 'MAYBE') a WHERE r = 1), summed AS (SELECT boundary_id,"
-        f" max(CASE WHEN event_type = 'adjudication' THEN label END) AS ruled, count(CASE WHEN event_type = 'review' THEN 1 END) AS reviewer_count,"
-        f" count(DISTINCT CASE WHEN event_type = 'review' THEN label END) AS n_labels, max(CASE WHEN event_type = 'review' THEN label END) AS one_label,"
-        f" max(CASE WHEN event_type = 'review' AND confidence = 'low' THEN 1 ELSE 0 END) AS low FROM newest GROUP BY boundary_id),"
-        f" states AS (SELECT boundary_id, CASE WHEN ruled IS NOT NULL THEN ruled WHEN reviewer_count = 1 THEN one_label WHEN n_labels = 1 AND low = 0 THEN one_label ELSE 'AMBIGUOUS' END AS gold_label,"
-        f" reviewer_count, ruled IS NULL AND (reviewer_count = 1 OR n_labels > 1) AS needs_second_review, CASE WHEN ruled IS NOT NULL THEN 'adjudicated' WHEN reviewer_count = 1 THEN 'single'"
-        f" WHEN n_labels = 1 THEN 'agreed' ELSE 'disputed' END AS review_status FROM summed)"
+    """The last adjudication wins; else the latest review of each reviewer: one, several that agree, or a disagreement without a label."""
+    by = "PARTITION BY boundary_id, reviewer"
+    doubt = lambda label, conf: f"CASE WHEN {conf} = 'low' THEN 'AMBIGUOUS' ELSE {label} END"
+    said = "concat('R', reviewer, ': ', label, ' (', reason, ')')"
+    return (
+        f"{ledger(d)}, reviews AS (SELECT *, row_number() OVER ({by} ORDER BY seq DESC) AS back, min(seq) OVER ({by}) AS first_seq FROM ledger WHERE event_type = 'review' AND round IN (1, 2) AND reviewer <> ''),"
+        f" summed AS (SELECT boundary_id, count(*) AS reviewers, count(DISTINCT label) AS labels, {d.least_by('label', 'first_seq')} AS label, {d.least_by('confidence', 'first_seq')} AS confidence, {d.least_by('reason', 'first_seq')} AS reason,"
+        f" {d.listagg(said, '; ', 'first_seq')} AS said FROM reviews WHERE back = 1 GROUP BY boundary_id),"
+        f" ruled AS (SELECT boundary_id, {d.greatest_by('label', 'seq')} AS label, {d.greatest_by('confidence', 'seq')} AS confidence, {d.greatest_by('reason', 'seq')} AS reason FROM ledger WHERE event_type = 'adjudication' GROUP BY boundary_id),"
+        f" every AS (SELECT DISTINCT boundary_id FROM ledger), known AS (SELECT e.boundary_id, a.boundary_id IS NOT NULL AS judged, coalesce(s.reviewers, 0) AS n, s.labels, s.said,"
+        f" a.label AS al, a.confidence AS ac, a.reason AS ar, s.label AS sl, s.confidence AS sc, s.reason AS sr FROM every e LEFT JOIN ruled a ON a.boundary_id = e.boundary_id LEFT JOIN summed s ON s.boundary_id = e.boundary_id),"
+        f" states AS (SELECT boundary_id, CASE WHEN judged THEN {doubt('al', 'ac')} WHEN n = 1 THEN sl WHEN labels = 1 THEN {doubt('sl', 'sc')} END AS gold_label,"
+        f" CASE WHEN judged THEN ac WHEN n = 1 OR labels = 1 THEN sc END AS label_confidence, n AS reviewer_count, NOT judged AND n = 1 AND sl = 'JOIN' AND sc IN ('medium', 'low') AS needs_second_review,"
+        f" CASE WHEN judged THEN ar WHEN n = 0 THEN '' WHEN n = 1 THEN sr WHEN labels = 1 THEN CASE WHEN sr = '' THEN 'Agreed' ELSE concat('Agreed: ', sr) END ELSE concat('Disagreement: ', said) END AS review_reason,"
+        f" CASE WHEN judged THEN 'adjudicated' WHEN n = 0 THEN 'unreviewed' WHEN n = 1 OR labels = 1 THEN 'reviewed' ELSE 'needs_adjudication' END AS review_status, CASE WHEN judged OR n > 0 THEN 'human' END AS label_origin FROM known)"
     )
 
 
 def review_state(d: Spark) -> str:
-    return f"WITH {states(d)} SELECT boundary_id, gold_label, reviewer_count, needs_second_review, review_status FROM states"
+    return f"WITH {states(d)} SELECT boundary_id, gold_label, label_confidence, reviewer_count, coalesce(needs_second_review, false) AS needs_second_review, review_reason, review_status, label_origin FROM states"
+
+
+#: Entries whose label, status and origin must agree, some of them spoilt.
+SPOILT = (
+    "entries AS (SELECT boundary_id, CASE WHEN b % 31 = 0 THEN 'MAYBE' ELSE gold_label END AS gold_label, CASE WHEN b % 17 = 0 THEN NULL WHEN b % 19 = 0 THEN 'model' ELSE label_origin END AS origin,"
+    " CASE WHEN b % 23 = 0 THEN 'done' WHEN b % 29 = 0 THEN 'unreviewed' WHEN b % 13 = 0 THEN 'needs_adjudication' ELSE review_status END AS status FROM (SELECT *, CAST(substr(boundary_id, 2) AS BIGINT) AS b FROM states) x)"
+)
+ORIGIN_RULES = (
+    ("goldLabel but labelOrigin is null", "gold_label IS NOT NULL AND origin IS NULL"),
+    ("goldLabel but labelOrigin is not human", "gold_label IS NOT NULL AND origin IS NOT NULL AND origin <> 'human'"),
+    ("unreviewed but labelOrigin", "status = 'unreviewed' AND origin IS NOT NULL"),
+    ("reviewed without human labelOrigin", "status IN ('reviewed', 'adjudicated') AND coalesce(origin, '') <> 'human'"),
+    ("needs_adjudication but goldLabel", "status = 'needs_adjudication' AND gold_label IS NOT NULL"),
+    ("invalid goldLabel", "gold_label IS NOT NULL AND gold_label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS')"),
+    ("invalid reviewStatus", "status NOT IN ('unreviewed', 'reviewed', 'needs_adjudication', 'adjudicated')"),
+)
 
 
 def label_origin_errors(d: Spark) -> str:
-    return f"WITH {ledger(d)} SELECT boundary_id, origin, count(*) AS n, min(seq) AS first_seq FROM ledger WHERE origin <> 'human' GROUP BY boundary_id, origin"
+    flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ORIGIN_RULES)
+    return f"WITH {states(d)}, {SPOILT} SELECT boundary_id, explode(array_compact(array({flags}))) AS error FROM entries"
 
 
 CANDIDATES = "candidates AS (SELECT concat('b', CAST(doc_id AS VARCHAR(20))) AS boundary_id, source, doc_id AS cue FROM documents)"
@@ -82,15 +125,18 @@ def round1_queue(d: Spark) -> str:
 
 
 def round2_queue(d: Spark) -> str:
-    """First reviewed by another reviewer and not yet by ana; doubtful labels first, a fifth of all."""
-    tier = "CASE WHEN label = 'JOIN' AND confidence = 'medium' THEN 0 WHEN label = 'JOIN' AND confidence = 'low' THEN 1 WHEN confidence = 'low' THEN 2 ELSE 3 END"
-    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    """What ana reviews second: first reviewed by another, without a second review or a ruling, not seen by ana; a fifth of the split.
+
+    Doubtful labels first; within a tier the sources take turns.
+    """
+    tier = "CASE WHEN label = 'JOIN' AND confidence = 'medium' THEN 0 WHEN label = 'JOIN' AND confidence = 'low' THEN 1 ELSE 3 END"
     return (
-        f"WITH {ledger(d)}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id ORDER BY seq) AS r FROM ledger WHERE event_type = 'review' AND round = 1) a WHERE r = 1 AND reviewer <> 'ana'),"
-        f" own AS (SELECT DISTINCT boundary_id FROM ledger WHERE reviewer = 'ana'), ruled AS (SELECT DISTINCT boundary_id FROM ledger WHERE event_type = 'adjudication'),"
-        f" open AS (SELECT f.boundary_id, f.b, {tier} AS tier FROM firsts f {anti} own o ON o.boundary_id = f.boundary_id {anti} ruled u ON u.boundary_id = f.boundary_id),"
-        f" ordered AS (SELECT boundary_id, tier, row_number() OVER (ORDER BY tier, b) AS place, count(*) OVER () AS n FROM open)"
-        f" SELECT boundary_id, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place FROM ordered WHERE place <= greatest(1, ceil(n * 0.2))"
+        f"WITH {ledger(d)}, split AS (SELECT concat('b', CAST(doc_id AS VARCHAR(20))) AS boundary_id, source, doc_id AS cue FROM documents WHERE doc_id % 3 <> 0),"
+        f" histories AS (SELECT boundary_id, min(CASE WHEN event_type = 'review' AND round = 1 THEN seq END) AS first_seq, max(CASE WHEN event_type = 'review' AND reviewer = 'ana' THEN 1 ELSE 0 END) AS own,"
+        f" max(CASE WHEN event_type = 'adjudication' OR event_type = 'review' AND round = 2 THEN 1 ELSE 0 END) AS closed FROM ledger GROUP BY boundary_id),"
+        f" open AS (SELECT s.boundary_id, s.source, s.cue, {tier} AS tier FROM histories h JOIN ledger l ON l.seq = h.first_seq JOIN split s ON s.boundary_id = h.boundary_id WHERE h.own = 0 AND h.closed = 0),"
+        f" turns AS (SELECT *, row_number() OVER (PARTITION BY tier, source ORDER BY cue) AS turn FROM open), ordered AS (SELECT *, row_number() OVER (ORDER BY tier, turn, source) AS place FROM turns)"
+        f" SELECT boundary_id, source, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place FROM ordered CROSS JOIN (SELECT greatest(1, {d.div('count(*)', '5')}) AS target FROM split) t WHERE place <= target"
     )
 
 
@@ -104,11 +150,11 @@ def queue_content_hash(d: Spark) -> str:
 
 
 def judged(d: Spark) -> str:
-    """Decisions against synthetic gold labels, one row for each (left, right, gap), the first one kept."""
+    """Decisions against synthetic gold labels: AMBIGUOUS cases leave, then the first of each (left, right, gap) is kept."""
     gold = d.mod("ordinal * 3 + gap_ms", "7")
     return (
-        f"{decisions(d)}, cases AS (SELECT lcue, rcue, gap_ms, lang, band, upper(decision) AS predicted, CASE WHEN {gold} < 2 THEN 'JOIN' WHEN {gold} = 6 THEN 'AMBIGUOUS' ELSE 'BREAK' END AS expected,"
-        f" row_number() OVER (PARTITION BY lcue, rcue, gap_ms ORDER BY source_id, ordinal) AS r FROM decisions), kept AS (SELECT * FROM cases WHERE r = 1 AND expected <> 'AMBIGUOUS')"
+        f"{decisions(d)}, cases AS (SELECT source_id, ordinal, lcue, rcue, gap_ms, lang, band, upper(decision) AS predicted, CASE WHEN {gold} < 2 THEN 'JOIN' WHEN {gold} = 6 THEN 'AMBIGUOUS' ELSE 'BREAK' END AS expected FROM decisions),"
+        f" kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lcue, rcue, gap_ms ORDER BY source_id, ordinal) AS r FROM cases WHERE expected <> 'AMBIGUOUS') a WHERE r = 1)"
     )
 
 
@@ -141,12 +187,28 @@ def cohen_kappa(d: Spark) -> str:
 
 
 def maturity_level(d: Spark) -> str:
-    """The ladder none, exploratory, usable, validated; validated is asked first."""
+    """The ladder none, exploratory, usable, validated, for all entries and for each language; the policy counts as frozen."""
+    n = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    done = "status IN ('reviewed', 'adjudicated')"
+    plain = f"{done} AND coalesce(gold_label, 'AMBIGUOUS') <> 'AMBIGUOUS'"
     return (
-        f"WITH {states(d)}, t AS (SELECT count(CASE WHEN gold_label IS NOT NULL THEN 1 END) AS labelled, count(CASE WHEN gold_label = 'JOIN' THEN 1 END) AS joins, count(CASE WHEN gold_label = 'BREAK' THEN 1 END) AS breaks,"
-        f" count(CASE WHEN reviewer_count >= 2 THEN 1 END) AS twice, count(CASE WHEN review_status = 'disputed' THEN 1 END) AS disputed FROM states)"
-        f" SELECT labelled, joins, breaks, twice, disputed, {ratio('twice', 'labelled')} AS second_review_share, CASE WHEN labelled >= 200 AND joins >= 40 AND breaks >= 40 AND 5 * twice >= labelled AND disputed = 0 THEN 'validated'"
-        f" WHEN labelled >= 100 AND joins >= 20 AND breaks >= 20 THEN 'usable' WHEN labelled >= 20 THEN 'exploratory' ELSE 'none' END AS maturity FROM t"
+        f"WITH {states(d)}, entries AS (SELECT c.lang, c.source, coalesce(s.review_status, 'unreviewed') AS status, s.gold_label, coalesce(s.reviewer_count, 0) AS reviewers, s.label_origin AS origin,"
+        f" {pick(d, 'c.doc_id', ('dev', 'dev', 'test'))} AS split, {pick(d, 'c.doc_id * 3', ('0-100ms', '301-500ms', '501-1500ms', '3000+ms'))} AS timing_band, {pick(d, 'c.doc_id * 5', ('dialogue', 'monologue', 'unknown'))} AS structure,"
+        f" {pick(d, 'c.doc_id * 7', ('independent_utterance', 'join_like', 'caption', 'misleading_period', 'starts_with_conjunction'))} AS tag, c.doc_id % 2 = 0 AS native"
+        f" FROM documents c LEFT JOIN states s ON s.boundary_id = concat('b', CAST(c.doc_id AS VARCHAR(20)))),"
+        f" t AS (SELECT coalesce(lang, '*') AS lang, {n(plain)} AS reviewed_non_ambiguous, count(DISTINCT source) AS productions, {n(done)} AS reviewed, {n('reviewers >= 2')} AS twice,"
+        f" {n(f'{done} AND gold_label = {chr(39)}JOIN{chr(39)}')} AS reviewed_join, {n(f'{done} AND gold_label = {chr(39)}BREAK{chr(39)}')} AS reviewed_break, {n('status = ' + repr('needs_adjudication'))} AS needs_adjudication,"
+        f" {n(f'{done} AND coalesce(origin, {chr(39) * 2}) <> {chr(39)}human{chr(39)}')} AS not_human, {n('native')} AS native_entries, count(DISTINCT timing_band) AS bands,"
+        f" {n('tag IN (' + repr('independent_utterance') + ', ' + repr('caption') + ')')} AS break_like, {n('tag IN (' + repr('join_like') + ', ' + repr('misleading_period') + ')')} AS join_like,"
+        f" count(DISTINCT CASE WHEN structure <> 'unknown' THEN structure END) AS structures, {n('split = ' + repr('dev'))} AS dev, {n('split = ' + repr('test'))} AS test,"
+        f" {n(f'split = {chr(39)}dev{chr(39)} AND {done}')} AS dev_reviewed, {n(f'split = {chr(39)}test{chr(39)} AND {done}')} AS test_reviewed, {n(f'split = {chr(39)}test{chr(39)} AND {plain}')} AS test_plain"
+        f" FROM entries GROUP BY GROUPING SETS ((lang), ())),"
+        f" told AS (SELECT *, break_like > 0 AND join_like > 0 AS both_like FROM t)"
+        f" SELECT lang, reviewed_non_ambiguous, productions, reviewed_join, reviewed_break, needs_adjudication, native_entries, {ratio('twice', 'reviewed')} AS second_review_share,"
+        f" CASE WHEN reviewed_non_ambiguous >= 200 AND 5 * dev_reviewed >= 4 * dev AND dev > 0 AND 5 * test_reviewed >= 4 * test AND reviewed_join >= 20 AND reviewed_break >= 20 AND productions >= 2 AND structures = 2 AND test > 0"
+        f" AND 5 * twice >= reviewed AND needs_adjudication = 0 AND native_entries >= 50 AND not_human = 0 THEN 'validated'"
+        f" WHEN reviewed_non_ambiguous >= 150 AND productions >= 2 AND reviewed_join >= 10 AND reviewed_break >= 10 AND both_like AND bands >= 3 AND dev > 0 AND test > 0 AND test_plain >= 20 AND twice > 0 AND not_human = 0 THEN 'usable'"
+        f" WHEN reviewed_non_ambiguous >= 75 AND reviewed_join >= 5 AND reviewed_break >= 5 AND both_like THEN 'exploratory' ELSE 'none' END AS maturity FROM told"
     )
 
 
