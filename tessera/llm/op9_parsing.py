@@ -347,7 +347,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_limit:
         texts = [np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else whole[d] for d, (text, gone) in enumerate(found)]
         columns = {c: rows.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
         if "n_chars" in names:
-            columns["n_chars"] = pa.array([len(t or "") for t in texts], rows.column("n_chars").type)
+            was = rows.column("n_chars").to_pylist()
+            columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, was, strict=True)], rows.column("n_chars").type)
         return pa.Table.from_arrays([columns[c] for c in names], names)
 
     return over_blocks(docs, finish, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes), block_bytes, group_limit)

@@ -121,3 +121,52 @@ def test_run(spark, stages):
     got = p.run(spark, SF).collect()
     assert len(got) == len(want)
     assert {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, block int, term string"
+
+
+def awkward():
+    """Nulls in every column, empty and long texts, repeated ids and rows, columns named as the operators name theirs."""
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    texts = {1: words("a"), 2: words("a") + " z", 3: words("b"), 4: words("c") + " " + words("d"), 5: words("e") + " " + words("d"), 6: words("long", 30_000), 7: None, 8: "", 9: "few words"}
+    rows = [(d, t, "en", "s", len(t or ""), d, 1, "t") for d, t in texts.items()]
+    rows += [rows[2], rows[2], (3, words("f"), "en", "s", 1, 1, 1, "t"), (None, words("g"), None, None, None, None, None, None), (None, words("g"), None, None, None, None, None, None)]
+    rows += [(None, words("b"), "en", "s", 1, 1, 1, "t"), (None, None, None, None, None, None, None, None), (20, words("item", 12), None, "s", None, 1, 1, None)]
+    return rows
+
+
+def test_awkward_rows(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"ITEM{i}" for i in range(12))), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(awkward(), SCHEMA).repartition(3)
+    left, rows = docs, []
+    for _, stage in p.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path)).cache()
+        assert left.columns == docs.columns
+        rows.append(sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in left.collect()), key=repr))
+    quality, near, cut, clean = rows
+    assert quality == sorted([(1, "a0"), (2, "a0"), (3, "b0"), (3, "b0"), (3, "b0"), (3, "f0"), (4, "c0"), (5, "e0"), (6, "lo"), (20, "it"), (None, "b0"), (None, "g0"), (None, "g0")], key=repr)
+    assert near == sorted([(1, "a0"), (3, "b0"), (3, "f0"), (4, "c0"), (5, "e0"), (6, "lo"), (20, "it"), (None, "g0")], key=repr)
+    assert cut == near and clean == [r for r in near if r != (20, "it")]
+    kept = {r["doc_id"]: r for r in left.collect()}
+    assert "d20" in kept[4]["text"] and "d20" not in kept[5]["text"] and kept[5]["n_chars"] == len(kept[5]["text"])
+    last = p.token_ids(spark, left, str(tmp_path)).collect()
+    assert len(last) == len(clean) and all(r["n_tokens"] == len(r["ids"]) > 0 for r in last)
+
+
+def test_stages_that_keep_empty_texts(spark, tmp_path):
+    """Rows without words pass every stage but the quality rules as they are."""
+    spark.createDataFrame([(1, "one item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, None, "en", None, 0, 1, 1, "t"), (1, "", "en", None, 0, 1, 1, "t"), (None, " ", None, None, 1, 1, 1, "t"), (None, None, None, None, None, None, None, None)], SCHEMA)
+    for _, stage in p.STAGES[1:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, docs.collect()))
+    assert {r["n_tokens"] for r in p.token_ids(spark, docs, str(tmp_path)).collect()} == {0}
+    assert p.quality_rules(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    docs.select("doc_id", "text").withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
