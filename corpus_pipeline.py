@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame: the documents that stay,
 with all their columns, and from the last stage the token ids of each.
+
+Every stage takes null, empty and very long texts, null and repeated doc_ids, repeated rows, columns of any other name
+and type, and empty tables (the stages' docstrings say what becomes of them). Ties between copies go to the
+smallest doc_id, null last. Rows are independent of the order they come in, except which of several rows equal in doc_id and text stays.
 """
 
 from __future__ import annotations
@@ -17,27 +21,33 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null and empty texts have too few words and go; repeated rows fare alike."""
     return op3_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
+    """Of each component of linked documents the row with the smallest doc_id stays (null last, then by the text's hash).
+
+    Of rows equal in doc_id and text any one stays; texts without words link with nothing, so all of them stay.
+    """
     return op5_jaccard.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that an earlier document holds are taken out of the text."""
+    """Bytes of strings that an earlier document holds are taken out of the text; every row stays, and n_chars follows.
+
+    Null texts stay null. Rows that share a doc_id are one place, so neither is earlier; null doc_ids come last.
+    """
     return op9_parsing.remove_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; texts without words, null ones too, stay."""
     return op4_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and decoded text."""
+    """doc_id, n_tokens, ids and the digests of ids and decoded text, one row for each document; null text counts as empty."""
     return op1_bpe.bpe_encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_texts=True).drop("decoded")
 
 
