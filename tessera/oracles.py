@@ -6,6 +6,8 @@ from .functions.dialect import Duck
 from .plans.cues import cues, proposed, signals_of
 from .plans.dialogue import spoken
 from .plans.labelling import SPOILT, ledger, states
+from .plans.requests import answers, asked, entries
+from .plans.similarity import tokens
 
 D = Duck()
 
@@ -114,6 +116,58 @@ SELECT conv_id, turn, gap_ms, CAST(points AS BIGINT) AS score, hard, CASE WHEN h
 FROM reasoned
 """
 
+GROUPING_ERRORS = f"""
+WITH {answers(D)},
+given AS (SELECT conv_id, list(id ORDER BY place) AS got FROM answers GROUP BY conv_id),
+due AS (SELECT conv_id, list(id ORDER BY pos) AS want FROM turns GROUP BY conv_id)
+SELECT conv_id, len(want) AS n_cues, coalesce(len(got), 0) AS n_items, CASE WHEN len(got) > len(list_distinct(got)) THEN 'repeated cue'
+  WHEN len(list_filter(got, lambda x: NOT list_contains(want, x))) > 0 THEN 'unknown cue'
+  WHEN len(list_filter(want, lambda x: NOT list_contains(coalesce(got, []), x))) > 0 THEN 'missing cue' WHEN got <> want THEN 'cues out of order' END AS error
+FROM due LEFT JOIN given USING (conv_id)
+"""
+
+MODEL_EVIDENCE = f"""
+WITH {entries(D)},
+answered AS (SELECT conv_id, count(*) AS received FROM entries GROUP BY conv_id),
+scores AS (SELECT conv_id, pos, CASE WHEN json_type(entry) = 'OBJECT' THEN coalesce(json_extract(entry, '$.modelProbability'), json_extract(entry, '$.model_probability'), json_extract(entry, '$.boundaryProbability'),
+  json_extract(entry, '$.boundary_probability'), json_extract(entry, '$.probability')) ELSE CAST(entry AS JSON) END AS s FROM entries),
+wrong AS (SELECT DISTINCT e.conv_id FROM entries e JOIN due u ON u.conv_id = e.conv_id AND u.pos = e.pos WHERE json_type(e.entry) = 'OBJECT' AND (
+  CAST(json_extract_string(e.entry, '$.leftIndex') AS BIGINT) <> u.pos - 1 OR json_extract_string(e.entry, '$.leftSegmentId') <> u.lid OR json_extract_string(e.entry, '$.right_segment_id') <> u.rid)),
+told AS (SELECT u.conv_id, u.pos - 1 AS boundary, s, CASE WHEN coalesce(received, 0) <> expected THEN 'wrong number of entries' WHEN u.conv_id IN (SELECT conv_id FROM wrong) THEN 'entries out of order' END AS error
+  FROM due u LEFT JOIN answered a ON a.conv_id = u.conv_id LEFT JOIN scores c ON c.conv_id = u.conv_id AND c.pos = u.pos WHERE u.pos < u.n)
+SELECT conv_id, boundary, CASE WHEN error IS NULL AND json_type(s) IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND TRY_CAST(s AS DOUBLE) BETWEEN 0 AND 1 THEN TRY_CAST(s AS DOUBLE) END AS p, error FROM told
+"""
+
+SIMILARITY_REQUEST_ERRORS = f"""
+WITH {asked(D)},
+word AS (SELECT doc_id, CASE WHEN word IS NULL OR word = '' THEN 'word: empty' WHEN length(word) > 100 THEN 'word: too long' WHEN NOT regexp_full_match(word, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+([''’-][\\p{{L}}\\p{{Nl}}\\p{{No}}]+)*') THEN 'word: not one word' END AS error FROM asked),
+sentence AS (SELECT doc_id, 'one' AS field, one AS t FROM asked UNION ALL SELECT doc_id, 'two', two FROM asked),
+faults AS (SELECT doc_id, error FROM word WHERE error IS NOT NULL UNION ALL SELECT doc_id, field || ': empty' FROM sentence WHERE t IS NULL OR t = '' UNION ALL SELECT doc_id, field || ': too long' FROM sentence WHERE length(t) > 5000)
+SELECT doc_id, error FROM faults
+UNION ALL SELECT s.doc_id, s.field || ': word absent' FROM sentence s JOIN asked a ON a.doc_id = s.doc_id WHERE s.doc_id NOT IN (SELECT doc_id FROM faults)
+  AND NOT list_contains(regexp_extract_all(lower(s.t), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+(?:[''’-][\\p{{L}}\\p{{Nl}}\\p{{No}}]+)*'), lower(a.word))
+"""
+
+REFERENCE_GAPS = f"""
+WITH {cues(D)}
+SELECT l.source_id, l.ordinal, c.ordinal AS cue, CASE WHEN c.ordinal < l.ordinal THEN 'previous' WHEN c.ordinal = l.ordinal THEN 'left' WHEN c.ordinal = l.ordinal + 1 THEN 'right' ELSE 'next' END AS side
+FROM cues l JOIN cues r ON r.source_id = l.source_id AND r.ordinal = l.ordinal + 1 JOIN cues c ON c.source_id = l.source_id AND c.ordinal BETWEEN l.ordinal - 3 AND l.ordinal + 4
+WHERE (c.source_id * 13 + c.ordinal * 7) % 97 = 0
+"""
+
+TARGET_CONTEXTS = f"""
+WITH {tokens(D)},
+o AS (SELECT doc_id, any_value(target) AS target, list(start ORDER BY start) AS s, list(stop ORDER BY start) AS e, list(i ORDER BY start) AS k FROM found GROUP BY doc_id),
+b AS (SELECT o.*, p.body, p.toks, length(p.body) AS chars, greatest(0, s[1] - 256) AS lo, least(length(p.body), e[1] + 256) AS hi FROM o JOIN picked p ON p.doc_id = o.doc_id),
+m AS (SELECT *, list_filter(range(1, len(s) + 1), lambda j: s[j] >= lo AND e[j] <= hi) AS kept FROM b),
+c AS (SELECT *, array_to_string(list_transform(range(lo, hi), lambda x: CASE WHEN len(list_filter(kept, lambda j: s[j] = x)) > 0 THEN '[TARGET]' WHEN len(list_filter(kept, lambda j: s[j] <= x AND x < e[j])) > 0 THEN '' ELSE substr(body, x + 1, 1) END), '') AS hidden,
+  if(lo > 0, '... ', '') AS head, if(hi < chars, ' ...', '') AS tail FROM m)
+SELECT doc_id, target, head || substr(body, lo + 1, hi - lo) || tail AS context, 'Target word: "' || target || '". Sentence context (target masked): ' || head || hidden || tail AS masked,
+  if(k[1] > 0, lower(toks[k[1]]), NULL) AS before, if(len(k) > 1 AND k[2] = k[1] + 1, NULL, lower(toks[k[1] + 2])) AS after,
+  if(coalesce(len(k) > 1 AND k[2] > k[1] + 1 AND lower(toks[k[1] + 2]) = 'of' AND lower(toks[k[2] + 2]) = 'of', false), 0.25, 0.0)::DOUBLE AS frame_bonus
+FROM c
+"""
+
 HAND_WRITTEN: dict[str, str] = {
     "ledger_errors": LEDGER_ERRORS,
     "review_state": REVIEW_STATE,
@@ -121,4 +175,9 @@ HAND_WRITTEN: dict[str, str] = {
     "round2_queue": ROUND2_QUEUE,
     "sentence_cue_overlap": CUE_OVERLAP,
     "dialogue_decisions": DIALOGUE,
+    "grouping_errors": GROUPING_ERRORS,
+    "model_evidence": MODEL_EVIDENCE,
+    "similarity_request_errors": SIMILARITY_REQUEST_ERRORS,
+    "reference_gaps": REFERENCE_GAPS,
+    "target_contexts": TARGET_CONTEXTS,
 }

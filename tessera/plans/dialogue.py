@@ -24,7 +24,7 @@ def spoken(d: Spark) -> str:
     return (
         f"said AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, {lines} AS lines FROM (SELECT conv_id, turn, {line} AS raw FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' AND role IS NOT NULL) a),"
         f" heard AS (SELECT *, {names} AS names, {shown} AS shown, {dashes} AS dashes FROM said),"
-        f" spoken AS (SELECT conv_id, turn, {d.join('lines', ' ')} AS cue, {d.distinct('names')} = 1 AS one, {d.item('names', '1')} AS name, {d.item('shown', '1')} AS shown_name, dashes,"
+        f" spoken AS (SELECT conv_id, turn, lines, names, {d.join('lines', ' ')} AS cue, {d.distinct('names')} = 1 AS one, {d.item('names', '1')} AS name, {d.item('shown', '1')} AS shown_name, dashes,"
         f" {d.distinct('names')} > 1 OR dashes > 1 OR (dashes > 0 AND {d.distinct('names')} > 0) AS several,"
         f" CASE WHEN turn % 11 = 10 THEN 'last' ELSE concat('c', CAST(conv_id AS VARCHAR(20)), '-', CAST(turn + (CASE WHEN turn % 13 = 12 THEN 4 ELSE 0 END) AS VARCHAR(20))) END AS cue_id,"
         f" turn * 4000 + (CASE WHEN turn % 17 = 16 THEN -9000 ELSE 0 END) AS start_ms, turn * 4000 + 3900 - {d.mod('turn * 700 + conv_id * 300', '3000')} AS end_ms FROM heard)"
@@ -67,4 +67,38 @@ def dialogue_decisions(d: Spark) -> str:
     )
 
 
-PLANS = (cue_speakers, dialogue_decisions)
+#: Tags of a boundary by family; the first family is what samples are drawn by.
+TAGS = {
+    "sampling_tags": (
+        "caption", "dialogue_dash", "ellipsis_or_interruption", "explicit_speaker_change", "independent_utterance", "inverted_exclamation", "inverted_question",
+        "join_like", "misleading_period", "short_response", "unknown_speaker_turn",
+    ),
+    "structure_tags": ("dialogue_dash", "lowercase_start", "multiline_cue_left", "multiline_cue_right", "uppercase_start"),
+    "punctuation_tags": ("ellipsis_or_interruption", "inverted_exclamation", "inverted_question", "misleading_period", "terminal_punctuation_left", "terminal_punctuation_right"),
+    "linguistic_tags": ("starts_with_conjunction",),
+}
+
+
+def dialogue_tags(d: Spark) -> str:
+    """All four families of tags of adjacent cues that carry lines, speakers and dashes."""
+    w = "OVER (PARTITION BY conv_id ORDER BY turn)"
+    first = d.replace(f"lower({d.item(d.split('rv', '[ ]+'), '1')})", "^[¿¡.!?…]+|[¿¡.!?…]+$", "")
+    holds = {
+        "caption": T.caption(d, "rcue", "rv"), "dialogue_dash": "r_dashes > 0", "ellipsis_or_interruption": f"({d.match('lv', T.ELLIPSIS)} OR {d.match('rv', T.ELLIPSIS)})",
+        "explicit_speaker_change": "coalesce(speaker <> r_speaker, false)", "unknown_speaker_turn": "r_dashes > 0 AND r_speaker IS NULL",
+        "independent_utterance": f"({d.match('rv', r'^\p{Lu}')} AND {d.match('lv', T.STRONG_END)})", "inverted_exclamation": d.match("rv", "^¡"), "inverted_question": d.match("rv", "^¿"),
+        "join_like": d.match("rv", r"^\p{Ll}"), "misleading_period": T.misleading_period(d, "lv", "rv"), "short_response": T.short_response(d, "rv"),
+        "multiline_cue_left": "n_lines > 1", "multiline_cue_right": "r_n_lines > 1",
+        "terminal_punctuation_left": d.match("lv", "[.?!…]$"), "terminal_punctuation_right": d.match("rv", "[.?!…]$"), "starts_with_conjunction": T.among(first, T.CONJUNCTIONS),
+    }
+    holds |= {"lowercase_start": holds["join_like"], "uppercase_start": holds["independent_utterance"]}
+    shown = ", ".join(f"concat_ws(',', {', '.join(f'CASE WHEN {holds[t]} THEN {t!r} END' for t in tags)}) AS {family}" for family, tags in TAGS.items())
+    after = ", ".join(f"lead({c}) {w} AS r_{c}" for c in ("cue", "speaker", "dashes", "n_lines"))
+    return (
+        f"WITH {spoken(d)}, single AS (SELECT conv_id, turn, cue, CASE WHEN one THEN name END AS speaker, dashes, {d.size('lines')} AS n_lines FROM spoken),"
+        f" pairs AS (SELECT *, cue AS lcue, r_cue AS rcue FROM (SELECT *, {after} FROM single) a WHERE r_cue IS NOT NULL), plain AS (SELECT *, {T.normalised(d, 'lcue')} AS lv, {T.normalised(d, 'rcue')} AS rv FROM pairs)"
+        f" SELECT conv_id, turn, {shown} FROM plain"
+    )
+
+
+PLANS = (cue_speakers, dialogue_decisions, dialogue_tags)

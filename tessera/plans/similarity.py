@@ -28,16 +28,24 @@ def word_occurrences(d: Spark) -> str:
 
 
 def target_contexts(d: Spark) -> str:
-    """The first occurrence with 256 characters on each side, marks where text was cut off, and neighbouring tokens."""
-    lo, hi = f"greatest(0, f.start - {SIDE})", f"least(length(p.body), f.stop + {SIDE})"
-    around = f"concat(CASE WHEN {lo} > 0 THEN '... ' ELSE '' END, {d.chars('p.body', f'{lo} + 1', f'{hi} - {lo}')}, CASE WHEN {hi} < length(p.body) THEN ' ...' ELSE '' END)"
-    masked = f"concat({d.chars('p.body', f'{lo} + 1', f'f.start - {lo}')}, '[TARGET]', {d.chars('p.body', 'f.stop + 1', f'{hi} - f.stop')})"
+    """256 characters around the first occurrence, also with every occurrence in them masked, and the tokens beside it.
+
+    Marks show where text was cut off. A document is read as two sentences that share the target, parted before
+    its second occurrence: the frame bonus is given where both go on with 'of'. Only the cut text meets the occurrences.
+    """
+    near = lambda x: f"CASE WHEN {x} IS NOT NULL THEN lower({x}) END"
+    marked = lambda x: f"concat(CASE WHEN lo > 0 THEN '... ' ELSE '' END, {x}, CASE WHEN hi < chars THEN ' ...' ELSE '' END)"
+    piece = f"concat({d.chars('f.cut', 'before - lo + 1', 'start - before')}, '[TARGET]')"
     return (
-        f"WITH {tokens(d)}, one AS (SELECT doc_id, min(start) AS start FROM found GROUP BY doc_id)"
-        f" SELECT f.doc_id, f.target, {around} AS context, {masked} AS masked, {d.item('p.toks', 'f.i')} AS before, {d.item('p.toks', 'f.i + 2')} AS after,"
-        f" CASE WHEN lower({d.item('p.toks', 'f.i + 2')}) = 'of' THEN 0.25e0 ELSE 0e0 END AS frame_bonus"
-        f" FROM found f JOIN one o ON o.doc_id = f.doc_id AND o.start = f.start JOIN picked p ON p.doc_id = f.doc_id"
-    ).replace(d.item("p.toks", "f.i") + " AS before", f"CASE WHEN f.i > 0 THEN {d.item('p.toks', 'greatest(f.i, 1)')} END AS before")
+        f"WITH {tokens(d)}, firsts AS (SELECT doc_id, min(start) AS start, min(stop) AS stop, min(i) AS i FROM found GROUP BY doc_id), seconds AS (SELECT f.doc_id, min(f.i) AS i FROM found f JOIN firsts o ON o.doc_id = f.doc_id AND f.i > o.i GROUP BY f.doc_id),"
+        f" spans AS (SELECT o.doc_id, o.i, s.i AS i2, p.target, p.toks, greatest(0, o.start - {SIDE}) AS lo, least(length(p.body), o.stop + {SIDE}) AS hi, length(p.body) AS chars, p.body FROM firsts o JOIN picked p ON p.doc_id = o.doc_id LEFT JOIN seconds s ON s.doc_id = o.doc_id),"
+        f" framed AS (SELECT doc_id, target, lo, hi, chars, {d.chars('body', 'lo + 1', 'hi - lo')} AS cut, CASE WHEN i > 0 THEN {near(d.item('toks', 'greatest(i, 1)'))} END AS before, CASE WHEN i2 IS NULL OR i + 1 < i2 THEN {near(d.item('toks', 'i + 2'))} END AS following,"
+        f" {near(d.item('toks', 'i2 + 2'))} AS following2 FROM spans),"
+        f" inside AS (SELECT f.doc_id, f.start, f.stop, r.lo, r.cut, coalesce(lag(f.stop) OVER (PARTITION BY f.doc_id ORDER BY f.start), r.lo) AS before FROM found f JOIN framed r ON r.doc_id = f.doc_id WHERE f.start >= r.lo AND f.stop <= r.hi),"
+        f" masks AS (SELECT f.doc_id, {d.listagg(piece, '', 'start')} AS masked, max(stop) AS last FROM inside f GROUP BY f.doc_id)"
+        f" SELECT r.doc_id, r.target, {marked('cut')} AS context, concat('Target word: \"', r.target, '\". Sentence context (target masked): ', {marked('masked, ' + d.chars('cut', 'last - lo + 1', 'hi - last'))}) AS masked, r.before AS before,"
+        f" following AS after, CASE WHEN following = 'of' AND following2 = 'of' THEN 0.25e0 ELSE 0e0 END AS frame_bonus FROM framed r JOIN masks m ON m.doc_id = r.doc_id"
+    )
 
 
 def scored(d: Spark) -> str:
