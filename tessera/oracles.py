@@ -168,6 +168,15 @@ SELECT doc_id, target, head || substr(body, lo + 1, hi - lo) || tail AS context,
 FROM c
 """
 
+DATASET_REPORT = f"""
+WITH {states(D)},
+entries AS (SELECT doc_id, source, lang, (SELECT s.review_status FROM states s WHERE s.boundary_id = 'b' || c.doc_id) AS status, (SELECT s.label_origin FROM states s WHERE s.boundary_id = 'b' || c.doc_id) AS origin FROM documents c),
+facts AS (SELECT 'source' AS section, coalesce(source, 'unknown') AS entry, count(*) AS n FROM entries GROUP BY ALL
+  UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), count(*) FROM entries GROUP BY ALL UNION ALL SELECT 'split', if(doc_id % 3 = 2, 'test', 'dev') AS e, count(*) FROM entries GROUP BY ALL
+  UNION ALL SELECT 'status', coalesce(status, 'unreviewed'), count(*) FROM entries GROUP BY ALL UNION ALL SELECT 'origin', coalesce(origin, 'none'), count(*) FROM entries GROUP BY ALL UNION ALL SELECT 'all', '*', count(*) FROM entries)
+SELECT f.section, f.entry, f.n, 1 + (SELECT count(*) FROM facts o WHERE o.section = f.section AND (o.n > f.n OR o.n = f.n AND o.entry < f.entry)) AS place FROM facts f
+"""
+
 HAND_WRITTEN: dict[str, str] = {
     "ledger_errors": LEDGER_ERRORS,
     "review_state": REVIEW_STATE,
@@ -180,4 +189,5 @@ HAND_WRITTEN: dict[str, str] = {
     "similarity_request_errors": SIMILARITY_REQUEST_ERRORS,
     "reference_gaps": REFERENCE_GAPS,
     "target_contexts": TARGET_CONTEXTS,
+    "dataset_report": DATASET_REPORT,
 }

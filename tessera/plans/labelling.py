@@ -259,7 +259,23 @@ def append_ledger(d: Spark) -> str:
     )
 
 
+#: Sections of the dataset report and the columns they count by.
+SECTIONS = ("source", "lang", "split", "status", "origin")
+
+
+def dataset_report(d: Spark) -> str:
+    """Counts of candidates by source, language, split, review status and origin, most common first (ties by value), and in all."""
+    section = "CASE " + " ".join(f"WHEN {c} IS NOT NULL THEN '{c}'" for c in SECTIONS) + " ELSE 'all' END"
+    return (
+        f"WITH {states(d)}, entries AS (SELECT coalesce(c.source, 'unknown') AS source, coalesce(c.lang, 'unknown') AS lang, CASE WHEN c.doc_id % 3 = 2 THEN 'test' ELSE 'dev' END AS split,"
+        f" coalesce(s.review_status, 'unreviewed') AS status, coalesce(s.label_origin, 'none') AS origin FROM documents c LEFT JOIN states s ON s.boundary_id = concat('b', CAST(c.doc_id AS VARCHAR(20)))),"
+        f" counted AS (SELECT {', '.join(SECTIONS)}, count(*) AS n FROM entries GROUP BY GROUPING SETS ({', '.join(f'({c})' for c in SECTIONS)}, ())),"
+        f" facts AS (SELECT {section} AS section, coalesce({', '.join(SECTIONS)}, '*') AS entry, n FROM counted)"
+        f" SELECT section, entry, n, CAST(row_number() OVER (PARTITION BY section ORDER BY n DESC, entry) AS BIGINT) AS place FROM facts"
+    )
+
+
 PLANS = (
-    ledger_errors, review_state, label_origin_errors, round1_queue, round2_queue, queue_content_hash, boundary_metrics, stratified_metrics,
+    dataset_report, ledger_errors, review_state, label_origin_errors, round1_queue, round2_queue, queue_content_hash, boundary_metrics, stratified_metrics,
     cohen_kappa, maturity_level, operational_readiness, source_manifest_check, quota_sample, scene_split, append_ledger,
 )
