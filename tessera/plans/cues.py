@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..functions.dialect import Spark
+from .policy import DEFAULT, Policy
 
 #: Gaps that the fixture deals out: every band and both sides of every limit.
 GAPS = (120, 500, 501, 1500, 1501, 4999, 5000, 29999, 30000, 30001, -40, 250, 80, 310, 95)
 STEP_MS = 32_000
-CONFIG_JOIN = {"normal": 0.50, "medium": 0.20, "large": 0.05, "extreme": 0.05}
 
 
 def cues(d: Spark) -> str:
@@ -30,8 +30,8 @@ def english(lang: str) -> str:
     return f"(coalesce({lang}, '') = '' OR lower(trim({lang})) = 'en' OR lower(trim({lang})) LIKE 'en-%' OR lower(trim({lang})) LIKE 'en!_%' ESCAPE '!')"
 
 
-def band(gap: str) -> str:
-    return f"CASE WHEN {gap} <= 500 THEN 'normal' WHEN {gap} <= 1500 THEN 'medium' WHEN {gap} < 30000 THEN 'large' ELSE 'extreme' END"
+def band(gap: str, c: Policy = DEFAULT) -> str:
+    return f"CASE WHEN {gap} <= {c.normal_gap_ms} THEN 'normal' WHEN {gap} <= {c.medium_gap_ms} THEN 'medium' WHEN {gap} < {c.extreme_gap_ms} THEN 'large' ELSE 'extreme' END"
 
 
 def timing_band(gap: str) -> str:
@@ -80,22 +80,42 @@ def threshold(kind: int) -> str:
     return f"CASE WHEN {english('lang')} THEN {of(limits)} ELSE {of(neutral)} END"
 
 
-def soft() -> str:
-    """The soft rules for a known p: the first match wins."""
-    config = "CASE band " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONFIG_JOIN.items()) + " END"
+def soft_rules(c: Policy = DEFAULT) -> tuple[tuple[str, str, str], ...]:
+    """Condition, decision and reason (an expression) of the soft rules for a known p, in order; the last one has no condition."""
+    config = f"CASE band WHEN 'normal' THEN {c.normal_join_max} WHEN 'medium' THEN {c.medium_join_max} ELSE {c.large_join_max} END"
+    gap = "CAST(gap_ms AS VARCHAR(20)), 'ms')"
     return (
-        f"CASE WHEN score >= 3 AND p <= 0.95 AND (band = 'normal' OR p < {config}) THEN 'join' WHEN independent AND score < 3 THEN 'break'"
-        f" WHEN band IN ('large', 'extreme') THEN 'break' WHEN p < {threshold(0)} THEN 'join' WHEN p > {threshold(1)} THEN 'break' ELSE 'uncertain' END"
+        (f"score >= {c.min_score} AND p <= {c.override_max} AND (band = 'normal' OR p < {config})", "join", "concat('continuation outweighs punctuation and model, score ', CAST(score AS VARCHAR(20)))"),
+        (f"independent AND score < {c.min_score}", "break", "'independently complete statements'"),
+        ("band = 'large'", "break", f"concat('large cue gap ', {gap}"),
+        ("band = 'extreme'", "break", f"concat('extreme cue gap ', {gap}"),
+        (f"p < {threshold(0)}", "join", "'model favors continuation'"),
+        (f"p > {threshold(1)}", "break", "'model favors a sentence boundary'"),
+        ("", "uncertain", "'model is in its uncertainty interval'"),
     )
 
 
-GAP_REASON = "WHEN gap_ms > 30000 THEN concat('cue gap ', CAST(gap_ms AS VARCHAR(20)), 'ms exceeds extreme-gap threshold 30000ms')"
+def soft(c: Policy = DEFAULT) -> str:
+    """The soft rules for a known p: the first match wins."""
+    *rules, last = soft_rules(c)
+    return "CASE " + " ".join(f"WHEN {when} THEN '{what}'" for when, what, _ in rules) + f" ELSE '{last[1]}' END"
+
+
+def soft_reason(c: Policy = DEFAULT) -> str:
+    *rules, last = soft_rules(c)
+    return "CASE " + " ".join(f"WHEN {when} THEN {why}" for when, _, why in rules) + f" ELSE {last[2]} END"
+
+
+def gap_reason(c: Policy = DEFAULT) -> str:
+    return f"WHEN gap_ms > {c.extreme_gap_ms} THEN concat('cue gap ', CAST(gap_ms AS VARCHAR(20)), 'ms exceeds extreme-gap threshold {c.extreme_gap_ms}ms')"
+
+
 TEXT_REASON = "WHEN issue IS NOT NULL THEN concat('joining would corrupt text: ', issue)"
 
 
 def decisions(d: Spark) -> str:
     """The policy over cues without speakers: hard reasons first, then the soft rules."""
-    hard = f"CASE WHEN next_start < start_ms THEN 'cue order is invalid' {GAP_REASON} {TEXT_REASON} END"
+    hard = f"CASE WHEN next_start < start_ms THEN 'cue order is invalid' {gap_reason()} {TEXT_REASON} END"
     return (
         f"{signals(d)}, judged AS (SELECT *, {hard} AS hard FROM (SELECT *, {band('gap_ms')} AS band FROM signals) a),"
         f" decisions AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'break' WHEN p IS NULL THEN 'uncertain' ELSE {soft()} END AS decision FROM judged)"

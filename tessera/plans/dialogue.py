@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..functions.dialect import Spark
-from .cues import GAP_REASON, TEXT_REASON, band, signals_of, soft
-
-DASH_PENALTY, MIN_SCORE = 2, 3
+from .cues import TEXT_REASON, band, gap_reason, signals_of, soft
+from .policy import DEFAULT, Policy
 
 
 def spoken(d: Spark) -> str:
@@ -36,12 +35,16 @@ def cue_speakers(d: Spark) -> str:
     return f"WITH {spoken(d)} SELECT conv_id, turn, CASE WHEN one THEN shown_name END AS speaker, several, CAST(dashes AS BIGINT) AS dashes, cue_id FROM spoken"
 
 
-def judged(d: Spark) -> str:
+def judged_of(d: Spark, rows: str, c: Policy = DEFAULT, last: bool = False) -> str:
+    """Signals, hard reasons and penalised scores of any rows with conv_id, turn, lang, cue, speaker, several, dashes, cue_id, times and p.
+
+    A row stands for the boundary after its cue; with `last`, the last cue of a source stays as a row without a right side.
+    """
     w = "OVER (PARTITION BY conv_id ORDER BY turn)"
     columns = ("cue", "speaker", "several", "dashes", "cue_id", "start_ms")
-    after = ", ".join(f"lead({c}) {w} AS r_{c}" for c in columns)
-    number = lambda c: f"CAST(nullif({d.extract(c, r'([0-9]+)$')}, '') AS BIGINT)"
-    prefix = lambda c: d.replace(c, r"[0-9]+$", "")
+    after = ", ".join(f"lead({x}) {w} AS r_{x}" for x in columns)
+    number = lambda x: f"try_cast(nullif({d.extract(x, r'([0-9]+)$')}, '') AS DECIMAL(38, 0))"
+    prefix = lambda x: d.replace(x, r"[0-9]+$", "")
     order = (
         f"WHEN r_start_ms < start_ms THEN 'cue order is invalid' WHEN {prefix('cue_id')} = {prefix('r_cue_id')} AND {number('r_cue_id')} <= {number('cue_id')} THEN 'cue order is invalid'"
         f" WHEN {prefix('cue_id')} = {prefix('r_cue_id')} AND {number('r_cue_id')} <> {number('cue_id')} + 1 THEN 'source cues are not consecutive'"
@@ -49,14 +52,20 @@ def judged(d: Spark) -> str:
     hard = (
         "CASE WHEN speaker IS NOT NULL AND r_speaker IS NOT NULL AND speaker <> r_speaker THEN 'adjacent cues have different explicit speakers'"
         " WHEN several THEN 'left cue contains multiple speakers' WHEN r_several THEN 'right cue contains multiple speakers'"
-        f" WHEN r_speaker IS NOT NULL AND speaker IS NULL THEN 'right cue introduces a new explicit speaker' {order} {GAP_REASON} {TEXT_REASON} END"
+        f" WHEN r_speaker IS NOT NULL AND speaker IS NULL THEN 'right cue introduces a new explicit speaker' {order} {gap_reason(c)} {TEXT_REASON} END"
+    )
+    return (
+        f"pairs AS (SELECT conv_id, turn, lang, cue AS lcue, r_cue AS rcue, speaker, r_speaker, several, r_several, dashes, r_dashes, cue_id, r_cue_id, start_ms, end_ms,"
+        f" r_start_ms, CAST(r_start_ms - end_ms AS BIGINT) AS gap_ms, p FROM (SELECT *, {after} FROM {rows}) a{'' if last else ' WHERE r_cue IS NOT NULL'}), {signals_of(d, 'pairs')},"
+        f" weighed AS (SELECT conv_id, turn, lang, lcue, rcue, gap_ms, p, issue, speaker, r_speaker, several, r_several, cue_id, r_cue_id, start_ms, end_ms, r_start_ms, {band('gap_ms', c)} AS band, independent,"
+        f" CASE WHEN dashes + r_dashes > 0 THEN greatest(0, score - {c.dash_penalty}) ELSE score END AS score FROM signals), judged AS (SELECT *, {hard} AS hard FROM weighed)"
     )
+
+
+def judged(d: Spark) -> str:
     p = d.mod("conv_id * 31 + turn * 17", "103")
     return (
-        f"{spoken(d)}, single AS (SELECT *, CASE WHEN one THEN name END AS speaker FROM spoken), pairs AS (SELECT conv_id, turn, 'en' AS lang, cue AS lcue, r_cue AS rcue, speaker, r_speaker, several, r_several, dashes, r_dashes, cue_id, r_cue_id, start_ms,"
-        f" r_start_ms, CAST(r_start_ms - end_ms AS BIGINT) AS gap_ms, CASE WHEN {p} <= 100 THEN {p} / 100.0 END AS p FROM (SELECT *, {after} FROM single) a WHERE r_cue IS NOT NULL), {signals_of(d, 'pairs')},"
-        f" weighed AS (SELECT conv_id, turn, lang, gap_ms, p, issue, speaker, r_speaker, several, r_several, cue_id, r_cue_id, start_ms, r_start_ms, score AS plain_score, {band('gap_ms')} AS band, independent,"
-        f" CASE WHEN dashes + r_dashes > 0 THEN greatest(0, score - {DASH_PENALTY}) ELSE score END AS score FROM signals), judged AS (SELECT *, {hard} AS hard FROM weighed)"
+        f"{spoken(d)}, single AS (SELECT *, 'en' AS lang, CASE WHEN one THEN name END AS speaker, CASE WHEN {p} <= 100 THEN {p} / 100.0 END AS p FROM spoken), {judged_of(d, 'single')}"
     )
 
 
