@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions.dialect import Duck
 from .plans.cues import cues, proposed, signals_of
 from .plans.dialogue import spoken
+from .plans.imports import handed_in, manifests
 from .plans.labelling import SPOILT, ledger, states
 from .plans.requests import answers, asked, entries
 from .plans.similarity import tokens
@@ -177,6 +178,34 @@ facts AS (SELECT 'source' AS section, coalesce(source, 'unknown') AS entry, coun
 SELECT f.section, f.entry, f.n, 1 + (SELECT count(*) FROM facts o WHERE o.section = f.section AND (o.n > f.n OR o.n = f.n AND o.entry < f.entry)) AS place FROM facts f
 """
 
+IMPORT_ERRORS = f"""
+WITH {handed_in(D)},
+told AS (SELECT h.*, CASE
+  WHEN r_queue = '' THEN 'queueId is empty' WHEN r_boundary = '' THEN 'boundaryId is empty' WHEN r_reviewer = '' THEN 'queueReviewer is empty' WHEN r_round = '' THEN 'queueRound is empty' WHEN r_split = '' THEN 'queueSplit is empty'
+  WHEN TRY_CAST(r_round AS INT) IS NULL THEN 'queueRound is no number' WHEN r_queue <> queue_id THEN 'queueId of another queue' WHEN r_reviewer <> 'ana' THEN 'another reviewer' WHEN r_round::INT <> 1 THEN 'another round'
+  WHEN r_split <> 'dev' THEN 'another split' WHEN r_boundary <> built THEN 'boundaryId is not that of source and cues'
+  WHEN built NOT IN (SELECT boundary_id FROM batches) THEN 'not a candidate' WHEN NOT EXISTS (SELECT 1 FROM manifest m WHERE m.queue_id = h.queue_id AND m.boundary_id = h.built) THEN 'not in this queue' END AS a FROM handed h),
+seen AS (SELECT t.*, CASE WHEN a IS NULL AND EXISTS (SELECT 1 FROM told o WHERE o.queue_id = t.queue_id AND o.built = t.built AND o.a IS NULL AND o.line < t.line) THEN 'duplicate boundaryId'
+  WHEN a IS NULL AND trim(r_text) <> '' AND NOT EXISTS (SELECT 1 FROM batches b WHERE b.boundary_id = t.built AND (trim(t.r_text) = b.text OR trim(t.r_text, '"') = trim(b.text, '"'))) THEN 'text modified' ELSE a END AS b FROM told t),
+filled AS (SELECT *, CASE WHEN label = '' THEN 'missing label' WHEN label = 'MAYBE' THEN 'invalid label' WHEN confidence = '' THEN 'missing confidence' WHEN confidence = 'sure' THEN 'invalid confidence' WHEN reason = '' THEN 'missing reason' END AS c FROM seen),
+found AS (SELECT queue_id, line, coalesce(b, c) AS error FROM filled f WHERE b IS NOT NULL OR (c IS NOT NULL AND NOT EXISTS (SELECT 1 FROM filled o WHERE o.queue_id = f.queue_id AND o.line < f.line AND (o.b IS NOT NULL OR o.c IS NOT NULL))))
+SELECT queue_id, CAST(line AS BIGINT) AS line, error FROM found
+UNION ALL SELECT queue_id, 0, 'order is not the manifest''s' FROM (SELECT queue_id, list(built ORDER BY line) AS got FROM handed GROUP BY queue_id) g
+  JOIN (SELECT queue_id, list(boundary_id ORDER BY rn) AS want FROM manifest GROUP BY queue_id) w USING (queue_id) WHERE got <> want AND queue_id NOT IN (SELECT queue_id FROM found)
+"""
+
+QUEUE_MANIFEST_ERRORS = f"""
+WITH {manifests(D)}
+SELECT queue_id, 'missing or empty queueId' AS error FROM manifests WHERE q = ''
+UNION ALL SELECT queue_id, 'missing reviewerId' FROM manifests WHERE reviewer = ''
+UNION ALL SELECT queue_id, 'invalid reviewRound' FROM manifests WHERE coalesce(round, 0) NOT BETWEEN 1 AND 2
+UNION ALL SELECT queue_id, 'invalid split' FROM manifests WHERE split NOT IN ('dev', 'test')
+UNION ALL SELECT queue_id, 'missing or empty boundaryIds' FROM manifests WHERE n = 0
+UNION ALL SELECT queue_id, 'duplicate boundaryId' FROM manifests WHERE kinds < n
+UNION ALL SELECT queue_id, 'rowCount is not the number of ids' FROM manifests WHERE n <> row_count
+UNION ALL SELECT queue_id, CASE WHEN sha = '' THEN 'missing or empty contentSha256' WHEN length(sha) = 64 THEN 'contentSha256 is not lowercase hexadecimal' ELSE 'contentSha256 is not 64 characters' END FROM manifests WHERE NOT regexp_full_match(sha, '[0-9a-f]{{64}}')
+"""
+
 HAND_WRITTEN: dict[str, str] = {
     "ledger_errors": LEDGER_ERRORS,
     "review_state": REVIEW_STATE,
@@ -190,4 +219,6 @@ HAND_WRITTEN: dict[str, str] = {
     "reference_gaps": REFERENCE_GAPS,
     "target_contexts": TARGET_CONTEXTS,
     "dataset_report": DATASET_REPORT,
+    "import_errors": IMPORT_ERRORS,
+    "queue_manifest_errors": QUEUE_MANIFEST_ERRORS,
 }
