@@ -72,6 +72,13 @@ UNION ALL SELECT boundary_id, 'invalid goldLabel' FROM entries WHERE gold_label
 UNION ALL SELECT boundary_id, 'invalid reviewStatus' FROM entries WHERE status NOT IN ('unreviewed', 'reviewed', 'needs_adjudication', 'adjudicated')
 """
 
+ROUND1_QUEUE = f"""
+WITH {ledger(D)},
+ranked AS (SELECT 'b' || doc_id AS boundary_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+placed AS (SELECT *, row_number() OVER (ORDER BY rn, source NULLS FIRST) AS place FROM ranked)
+SELECT boundary_id, source, place, (place - 1) // 25 AS batch FROM placed WHERE boundary_id NOT IN (SELECT boundary_id FROM ledger)
+"""
+
 ROUND2_QUEUE = f"""
 WITH {ledger(D)},
 split AS (SELECT 'b' || doc_id AS boundary_id, source, doc_id FROM documents WHERE doc_id % 3 <> 0),
@@ -210,6 +217,7 @@ HAND_WRITTEN: dict[str, str] = {
     "ledger_errors": LEDGER_ERRORS,
     "review_state": REVIEW_STATE,
     "label_origin_errors": LABEL_ORIGIN_ERRORS,
+    "round1_queue": ROUND1_QUEUE,
     "round2_queue": ROUND2_QUEUE,
     "sentence_cue_overlap": CUE_OVERLAP,
     "dialogue_decisions": DIALOGUE,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files as S
+from tessera.sources import freeze
 from tessera.sources import subtitles as T
 from tessera.streaming import live
 
@@ -125,3 +126,16 @@ def test_streams(spark, tmp_path):
     assert spark.table("scenes_s").agg(F.sum("n_cues")).first()[0] == n == spark.table("counts_s").agg(F.sum("n")).first()[0]
     want = {tuple(r) for r in events.groupBy("source_id", "event_type").agg(F.max("event_id")).collect()}
     assert {(r["boundary_id"], r["reviewer_id"], r["seq"]) for r in spark.table("reviews_s").collect()} == want
+
+
+def test_freeze(spark, tmp_path):
+    good = {"frozen": True, "commitSha": "0a" * 20, "frozenAt": "2024-05-01T10:00:00+00:00", "notes": ""}
+    freeze.require(good)
+    assert freeze.errors({"frozen": False}) == []
+    bad = [{"frozen": 1}, {"commitSha": "0A" * 20}, {"commitSha": None}, {"frozenAt": "May"}, {"frozenAt": None}, {"frozenAt": ""}, {"more": 1}, {"frozen": False}, {"frozen": None}]
+    for change in bad:
+        with pytest.raises(RuntimeError):
+            freeze.require(good | change)
+    assert freeze.load(spark, str(tmp_path / "none.json"))["frozen"] is False
+    (tmp_path / "f.json").write_text(json.dumps(good, indent=1))
+    assert freeze.load(spark, str(tmp_path / "f.json")) == good
