@@ -18,6 +18,7 @@ from .plans import cues as P
 from .plans import dialogue as D
 from .plans import imports as I
 from .plans import labelling as L
+from .plans import readiness as Q
 from .plans import requests as R
 from .plans import similarity as S
 
@@ -251,7 +252,7 @@ PLANS: dict[str, Callable[[Spark], str]] = {
         cues_from_text, visible_text_clean, words_and_terminals, boundaries_gap_bands, speaker_hard_breaks, profile_thresholds, english_signals,
         contraction_issue, joined_text_offsets, window_plan_owner, windowed_failure_isolation, policy_decisions, reconstruct_sentences,
         sentence_conservation, high_risk_joins, active_cue_at, sentence_cue_overlap, context_frames, scenes, chains, sampling_tags, tag_counts,
-        stratum_counts, srt_blocks, source_checksums, *D.PLANS, *S.PLANS, *L.PLANS, *R.PLANS, *I.PLANS,
+        stratum_counts, srt_blocks, source_checksums, *D.PLANS, *S.PLANS, *L.PLANS, *R.PLANS, *I.PLANS, *Q.PLANS,
     )
 }
 

@@ -7,6 +7,7 @@ from .plans.cues import cues, proposed, signals_of
 from .plans.dialogue import spoken
 from .plans.imports import handed_in, manifests
 from .plans.labelling import SPOILT, ledger, states
+from .plans.readiness import entries as candidates, lacking, passes, sources
 from .plans.requests import answers, asked, entries
 from .plans.similarity import tokens
 
@@ -213,6 +214,37 @@ UNION ALL SELECT queue_id, 'rowCount is not the number of ids' FROM manifests WH
 UNION ALL SELECT queue_id, CASE WHEN sha = '' THEN 'missing or empty contentSha256' WHEN length(sha) = 64 THEN 'contentSha256 is not lowercase hexadecimal' ELSE 'contentSha256 is not 64 characters' END FROM manifests WHERE NOT regexp_full_match(sha, '[0-9a-f]{{64}}')
 """
 
+READINESS = f"""
+WITH {states(D)}, {SPOILT.replace('entries AS', 'spoilt AS', 1)}, {sources(D)}, {candidates(D)}, {lacking(D)},
+bad_origins AS (SELECT boundary_id FROM spoilt WHERE (gold_label IS NOT NULL AND origin IS DISTINCT FROM 'human') OR (status = 'unreviewed' AND origin IS NOT NULL) OR (status IN ('reviewed', 'adjudicated') AND origin IS DISTINCT FROM 'human')
+  OR (status = 'needs_adjudication' AND gold_label IS NOT NULL) OR gold_label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS') OR status NOT IN ('unreviewed', 'reviewed', 'needs_adjudication', 'adjudicated')),
+langs AS (SELECT DISTINCT lang FROM entries),
+gates AS (SELECT g.lang,
+  (SELECT count(*) FROM entries e WHERE e.lang = g.lang) >= 150 AS enough_entries,
+  (SELECT count(DISTINCT source_id) FROM entries e WHERE e.lang = g.lang) >= 2 AS enough_sources,
+  EXISTS (SELECT 1 FROM entries e WHERE e.lang = g.lang AND break_like) AND EXISTS (SELECT 1 FROM entries e WHERE e.lang = g.lang AND join_like) AS both_kinds,
+  (SELECT count(DISTINCT timing_band) FROM entries e WHERE e.lang = g.lang) >= 2 AS enough_bands,
+  EXISTS (SELECT 1 FROM entries e WHERE e.lang = g.lang AND inverted) OR EXISTS (SELECT 1 FROM entries e JOIN manifest m ON m.source_id = e.source_id WHERE e.lang = g.lang AND m.structure = 'dialogue') AS speech,
+  NOT EXISTS (SELECT 1 FROM entries e WHERE e.lang = g.lang AND e.source_id NOT IN (SELECT source_id FROM manifest)) AS known_sources,
+  NOT EXISTS (SELECT 1 FROM manifest m WHERE coalesce(m.lang, 'none') = g.lang AND title IS NULL) AS full_provenance,
+  NOT EXISTS (SELECT 1 FROM manifest m WHERE coalesce(m.lang, 'none') = g.lang AND tier = 'bought') AS valid_tiers,
+  NOT EXISTS (SELECT 1 FROM lacking l WHERE coalesce(l.lang, 'none') = g.lang AND l.source_id IN (SELECT source_id FROM entries)) AS reference_complete, true AS no_model_fields,
+  NOT EXISTS (SELECT 1 FROM documents c JOIN bad_origins b ON b.boundary_id = 'b' || c.doc_id WHERE coalesce(c.lang, 'none') = g.lang) AS origins_agree FROM langs g)
+SELECT *, enough_entries AND enough_sources AND both_kinds AND enough_bands AND speech AND known_sources AND full_provenance AND valid_tiers AND reference_complete AND origins_agree AS ready FROM gates
+"""
+
+PROVENANCE = f"""
+WITH {sources(D)}, {cues(D)}
+SELECT m.source_id, content_type, structure, coalesce(lang, 'unknown') AS lang, tier, greatest(0, (SELECT count(*) FROM cues c WHERE c.source_id = m.source_id) - 1) AS candidates FROM manifest m
+"""
+
+SILVER_LABELS = f"""
+WITH {passes(D)},
+told AS (SELECT doc_id, rebuilt, CASE WHEN len(list_distinct([one, two, verifier])) > 1 OR verifier_sure = 'low' THEN 'AMBIGUOUS' WHEN one <> 'JOIN' THEN one
+  WHEN 'low' IN (one_sure, two_sure) OR coalesce(rebuilt, '') = '' OR speakers_change OR question_answer OR caption_merge THEN 'AMBIGUOUS' ELSE 'JOIN' END AS label FROM passes)
+SELECT doc_id, label, if(label = 'JOIN', rebuilt, NULL) AS rebuilt FROM told
+"""
+
 HAND_WRITTEN: dict[str, str] = {
     "ledger_errors": LEDGER_ERRORS,
     "review_state": REVIEW_STATE,
@@ -228,5 +260,8 @@ HAND_WRITTEN: dict[str, str] = {
     "target_contexts": TARGET_CONTEXTS,
     "dataset_report": DATASET_REPORT,
     "import_errors": IMPORT_ERRORS,
+    "operational_readiness": READINESS,
+    "source_provenance": PROVENANCE,
+    "silver_labels": SILVER_LABELS,
     "queue_manifest_errors": QUEUE_MANIFEST_ERRORS,
 }

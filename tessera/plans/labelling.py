@@ -231,15 +231,6 @@ def maturity_level(d: Spark) -> str:
     )
 
 
-def operational_readiness(d: Spark) -> str:
-    """Gates as booleans: unique keys, known sources, no orphan events, valid labels."""
-    return (
-        f"WITH {ledger(d)}, {CANDIDATES}, c AS (SELECT count(*) AS n, count(DISTINCT boundary_id) AS keys, count(DISTINCT source) AS sources, sum(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS unknown FROM candidates),"
-        f" o AS (SELECT count(*) AS orphans FROM ledger l LEFT JOIN candidates k ON k.boundary_id = l.boundary_id WHERE k.boundary_id IS NULL), v AS (SELECT sum(CASE WHEN label NOT IN ('JOIN', 'BREAK', 'AMBIGUOUS') THEN 1 ELSE 0 END) AS bad FROM ledger)"
-        f" SELECT n, n = keys AS unique_keys, sources >= 3 AS enough_sources, unknown = 0 AS known_sources, orphans = 0 AS no_orphans, bad = 0 AS valid_labels FROM c CROSS JOIN o CROSS JOIN v"
-    )
-
-
 def source_manifest_check(d: Spark) -> str:
     """Sources of the documents against those of a manifest: missing, unregistered, different counts."""
     return (
@@ -296,5 +287,5 @@ def dataset_report(d: Spark) -> str:
 
 PLANS = (
     dataset_report, ledger_errors, review_state, label_origin_errors, round1_queue, round2_queue, queue_content_hash, boundary_metrics, stratified_metrics,
-    cohen_kappa, maturity_level, operational_readiness, source_manifest_check, quota_sample, scene_split, append_ledger,
+    cohen_kappa, maturity_level, source_manifest_check, quota_sample, scene_split, append_ledger,
 )
