@@ -20,6 +20,7 @@ from .plans import imports as I
 from .plans import labelling as L
 from .plans import readiness as Q
 from .plans import requests as R
+from .plans import sampling
 from .plans import similarity as S
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
@@ -257,13 +258,45 @@ PLANS: dict[str, Callable[[Spark], str]] = {
 }
 
 
-def runner(plan: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
+def sampled(d: Spark) -> str:
+    """What a sample by quotas is drawn from: boundaries in five groups of sources, with their tags as a list."""
+    held = d.array(*(f"CASE WHEN {t} THEN '{t}' END" for t in TAGS))
+    h = d.sha256("concat('42:', CAST(source_id AS VARCHAR(20)), ':', CAST(ordinal AS VARCHAR(20)))")
+    return (
+        f"WITH {tagged(d)} SELECT concat(CAST(source_id AS VARCHAR(20)), ':', CAST(ordinal AS VARCHAR(20))) AS boundary_id, concat('g', CAST(source_id % 5 AS VARCHAR(2))) AS source, lang AS variant,"
+        f" {L.pick(d, 'source_id', ('film', 'series', 'talk'))} AS type, timing_band, {d.filter(held, 'x', 'x IS NOT NULL')} AS tags, {h} AS h FROM tagged"
+    )
+
+
+def quota_oracle() -> str:
+    """The phases of a sample one after another in DuckDB SQL, over all rows."""
+    q, steps, n = sampling.Quotas(), [f"base AS MATERIALIZED ({sampled(Duck())})", "s0 AS MATERIALIZED (SELECT boundary_id FROM base WHERE false)"], 0
+
+    def step(body: str) -> None:
+        nonlocal n
+        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT boundary_id FROM s{n} UNION ALL {body.replace('SO_FAR', f's{n}')})")
+        n += 1
+
+    listed = [(f"list_contains(tags, '{t}')", k) for t, k in sorted(q.tags.items())] + [(f"timing_band = '{b}'", k) for b, k in sorted(q.bands.items())]
+    for holds, quota in listed:
+        step(f"SELECT boundary_id FROM (SELECT boundary_id, row_number() OVER (ORDER BY h) AS r FROM base WHERE {holds} AND boundary_id NOT IN (SELECT boundary_id FROM SO_FAR)) a WHERE r <= {quota} - (SELECT count(*) FROM base JOIN SO_FAR USING (boundary_id) WHERE {holds})")
+    for column, quota in (("source", str(q.source)), ("variant", str(q.variant)), ("type", str(q.type))):
+        step(f"SELECT boundary_id FROM (SELECT boundary_id, {column} AS v, row_number() OVER (PARTITION BY {column} ORDER BY h) AS r FROM base WHERE boundary_id NOT IN (SELECT boundary_id FROM SO_FAR)) a WHERE r <= {quota} - (SELECT count(*) FROM base b JOIN SO_FAR USING (boundary_id) WHERE b.{column} IS NOT DISTINCT FROM a.v)")
+    left = f"({q.target} - (SELECT count(*) FROM SO_FAR))"
+    short = f"EXISTS (SELECT 1 FROM base GROUP BY source HAVING count(*) < {q.source})"
+    even = f"greatest(1, {left} // (SELECT count(DISTINCT source) FROM base))"
+    step(f"SELECT boundary_id FROM (SELECT boundary_id, row_number() OVER (ORDER BY source, h) AS nth FROM (SELECT boundary_id, source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS r FROM base WHERE boundary_id NOT IN (SELECT boundary_id FROM SO_FAR)) a WHERE r <= {even} - (SELECT count(*) FROM base b JOIN SO_FAR USING (boundary_id) WHERE b.source = a.source)) c WHERE NOT {short} AND nth <= {left}")
+    step(f"SELECT boundary_id FROM (SELECT boundary_id, row_number() OVER (ORDER BY source, h) AS nth FROM base WHERE boundary_id NOT IN (SELECT boundary_id FROM SO_FAR)) a WHERE nth <= {left}")
+    return f"WITH {', '.join(steps)} SELECT boundary_id, source, variant, type, timing_band FROM base JOIN s{n} USING (boundary_id)"
+
+
+def runner(plan: Callable[[Spark], str], read: Callable[[SparkSession, str], DataFrame] = SparkSession.sql) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = plan(Spark())
         for name in TABLES:
             if re.search(rf"\b{name}\b", sql):
                 spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return read(spark, sql)
 
     return run
 
@@ -271,3 +304,5 @@ def runner(plan: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: runner(plan) for name, plan in PLANS.items()}
 #: Where a rule has many cases its oracle is written by hand; the other oracles are the plans in DuckDB's spelling.
 ORACLE_SQL: dict[str, str] = {name: HAND_WRITTEN[name] if name in HAND_WRITTEN else plan(Duck()) for name, plan in PLANS.items()}
+QUERIES["quota_sample"] = runner(sampled, sampling.from_sql)
+ORACLE_SQL["quota_sample"] = quota_oracle()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Spark
-from .cues import boundaries, decisions, scenes_of, timing_band
+from .cues import decisions, scenes_of
 from .similarity import ratio
 
 LABELS = ("JOIN", "BREAK", "AMBIGUOUS")
@@ -240,15 +240,6 @@ def source_manifest_check(d: Spark) -> str:
     )
 
 
-def quota_sample(d: Spark) -> str:
-    """Up to 40 boundaries of each timing band and language, in the order of a hash: same rows on every run."""
-    order = d.sha256("concat('42:', CAST(source_id AS VARCHAR(20)), ':', CAST(ordinal AS VARCHAR(20)))")
-    return (
-        f"WITH {boundaries(d)}, bands AS (SELECT source_id, ordinal, lang, {timing_band('gap_ms')} AS timing_band FROM boundaries), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, timing_band ORDER BY {order}) AS r FROM bands)"
-        f" SELECT source_id, ordinal, lang, timing_band, CAST(r AS BIGINT) AS pick FROM ranked WHERE r <= 40"
-    )
-
-
 def scene_split(d: Spark) -> str:
     """Whole scenes go to dev or test, near 70 % of the cues of each source: by running share in hash order."""
     order = d.sha256("concat('42:', CAST(source_id AS VARCHAR(20)), ':', CAST(scene AS VARCHAR(20)))")
@@ -287,5 +278,5 @@ def dataset_report(d: Spark) -> str:
 
 PLANS = (
     dataset_report, ledger_errors, review_state, label_origin_errors, round1_queue, round2_queue, queue_content_hash, boundary_metrics, stratified_metrics,
-    cohen_kappa, maturity_level, source_manifest_check, quota_sample, scene_split, append_ledger,
+    cohen_kappa, maturity_level, source_manifest_check, scene_split, append_ledger,
 )
