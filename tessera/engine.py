@@ -35,7 +35,7 @@ OPTIONAL = {"lang": "string", "lines": "array<string>", "speaker": "string", "se
 SCORES = "source_id {}, ordinal long, character_offset long, p double, status string"
 
 
-def _query(sql: str, **tables: DataFrame) -> DataFrame:
+def query_over(sql: str, **tables: DataFrame) -> DataFrame:
     """The SQL with each table's name standing for the DataFrame; views have fresh names and go again once the plan is made."""
     spark, names = next(iter(tables.values())).sparkSession, {}
     try:
@@ -156,7 +156,7 @@ def decide(cues: DataFrame, scores: DataFrame, policy: Policy = DEFAULT) -> Data
     `scores` has one row at most for a source_id and ordinal; a missing, null or impossible p is no evidence.
     """
     sql, tables = _judged(cues, scores, policy)
-    return _query(f"{sql} SELECT conv_id AS source_id, turn AS ordinal, cue_id AS left_segment_id, r_cue_id AS right_segment_id, decision, reason, p, gap_ms FROM decided WHERE rcue IS NOT NULL", **tables)
+    return query_over(f"{sql} SELECT conv_id AS source_id, turn AS ordinal, cue_id AS left_segment_id, r_cue_id AS right_segment_id, decision, reason, p, gap_ms FROM decided WHERE rcue IS NOT NULL", **tables)
 
 
 def reconstruct(cues: DataFrame, scores: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -165,7 +165,7 @@ def reconstruct(cues: DataFrame, scores: DataFrame, policy: Policy = DEFAULT) ->
     w = "OVER (PARTITION BY conv_id ORDER BY turn)"
     sep = f"CASE WHEN NOT joins THEN '' WHEN {T.attaches(D, 'before', 'cue', english('lang'))} THEN '' ELSE ' ' END"
     part = "struct(turn, concat(sep, cue) AS piece, cue_id AS segment_id, cue AS text, start_ms, end_ms)"
-    return _query(
+    return query_over(
         f"{sql}, numbered AS (SELECT *, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) {w} AS BIGINT) - 1 AS sentence_id FROM"
         f" (SELECT conv_id, turn, lang, lcue AS cue, cue_id, start_ms, end_ms, lag(lcue) {w} AS before, coalesce(lag(decision) {w} = 'join', false) AS joins FROM decided) a),"
         f" spaced AS (SELECT *, {sep} AS sep FROM numbered), grouped AS (SELECT conv_id, sentence_id, array_sort(collect_list({part})) AS c FROM spaced GROUP BY conv_id, sentence_id)"

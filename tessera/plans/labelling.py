@@ -42,22 +42,23 @@ ROW_RULES = (
 )
 
 
-def checked(d: Spark) -> str:
+def checked() -> str:
+    """Events of the CTE `ledger` beside the candidates of the CTE `known`."""
     return (
-        f"{ledger(d)}, typed AS (SELECT l.*, k.known FROM ledger l LEFT JOIN (SELECT DISTINCT concat('b', CAST(doc_id AS VARCHAR(20))) AS bid, true AS known FROM documents) k ON k.bid = l.boundary_id),"
-        f" valid AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY seq) AS nth FROM typed WHERE event_type IN ('review', 'adjudication') AND known)"
+        "typed AS (SELECT l.*, k.bid IS NOT NULL AS known FROM ledger l LEFT JOIN known k ON k.bid = l.boundary_id),"
+        " valid AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY seq) AS nth FROM typed WHERE event_type IN ('review', 'adjudication') AND known)"
     )
 
 
-def ledger_errors(d: Spark) -> str:
+def errors_of(d: Spark) -> str:
     """One row for each broken rule: of an event (its seq), or of a boundary's events (seq -1)."""
     flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ROW_RULES)
     of = "OVER (PARTITION BY boundary_id)"
     return (
-        f"WITH {checked(d)}, noted AS (SELECT *, sum(CASE WHEN round = 1 THEN 1 ELSE 0 END) {of} AS ones, min(CASE WHEN round = 1 THEN seq END) {of} AS first_one, min(CASE WHEN round = 2 THEN seq END) {of} AS first_two FROM valid),"
+        f"{checked()}, noted AS (SELECT *, sum(CASE WHEN round = 1 THEN 1 ELSE 0 END) {of} AS ones, min(CASE WHEN round = 1 THEN seq END) {of} AS first_one, min(CASE WHEN round = 2 THEN seq END) {of} AS first_two FROM valid),"
         f" latest AS (SELECT boundary_id, reviewer, label FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id, reviewer ORDER BY seq DESC) AS back FROM valid WHERE event_type = 'review' AND reviewer <> '' AND label <> '') x WHERE back = 1),"
         f" opinions AS (SELECT boundary_id, count(DISTINCT label) AS n FROM latest GROUP BY boundary_id)"
-        f" SELECT boundary_id, seq, CASE WHEN event_type NOT IN ('review', 'adjudication') THEN 'unknown eventType' ELSE 'unknown boundaryId' END AS error FROM typed WHERE event_type NOT IN ('review', 'adjudication') OR known IS NULL"
+        f" SELECT boundary_id, seq, CASE WHEN event_type NOT IN ('review', 'adjudication') THEN 'unknown eventType' ELSE 'unknown boundaryId' END AS error FROM typed WHERE event_type NOT IN ('review', 'adjudication') OR NOT known"
         f" UNION ALL SELECT boundary_id, seq, error FROM (SELECT boundary_id, seq, explode(array_compact(array({flags}))) AS error FROM valid) r"
         f" UNION ALL SELECT boundary_id, -1, 'one reviewer did both rounds' FROM valid WHERE event_type = 'review' AND reviewer <> '' GROUP BY boundary_id, reviewer HAVING count(DISTINCT CASE WHEN round IN (1, 2) THEN round END) = 2"
         f" UNION ALL SELECT boundary_id, seq, 'round two without round one' FROM noted WHERE round = 2 AND ones = 0"
@@ -68,13 +69,22 @@ def ledger_errors(d: Spark) -> str:
     )
 
 
+def ledger_errors(d: Spark) -> str:
+    """Every broken rule of the ledger's events; the documents are the candidates."""
+    return f"WITH {ledger(d)}, known AS (SELECT DISTINCT concat('b', CAST(doc_id AS VARCHAR(20))) AS bid FROM documents), {errors_of(d)}"
+
+
 def states(d: Spark) -> str:
+    return f"{ledger(d)}, {states_of(d)}"
+
+
+def states_of(d: Spark) -> str:
     """The last adjudication wins; else the latest review of each reviewer: one, several that agree, or a disagreement without a label."""
     by = "PARTITION BY boundary_id, reviewer"
     doubt = lambda label, conf: f"CASE WHEN {conf} = 'low' THEN 'AMBIGUOUS' ELSE {label} END"
     said = "concat('R', reviewer, ': ', label, ' (', reason, ')')"
     return (
-        f"{ledger(d)}, reviews AS (SELECT *, row_number() OVER ({by} ORDER BY seq DESC) AS back, min(seq) OVER ({by}) AS first_seq FROM ledger WHERE event_type = 'review' AND round IN (1, 2) AND reviewer <> ''),"
+        f"reviews AS (SELECT *, row_number() OVER ({by} ORDER BY seq DESC) AS back, min(seq) OVER ({by}) AS first_seq FROM ledger WHERE event_type = 'review' AND round IN (1, 2) AND reviewer <> ''),"
         f" summed AS (SELECT boundary_id, count(*) AS reviewers, count(DISTINCT label) AS labels, {d.least_by('label', 'first_seq')} AS label, {d.least_by('confidence', 'first_seq')} AS confidence, {d.least_by('reason', 'first_seq')} AS reason,"
         f" {d.listagg(said, '; ', 'first_seq')} AS said FROM reviews WHERE back = 1 GROUP BY boundary_id),"
         f" ruled AS (SELECT boundary_id, {d.greatest_by('label', 'seq')} AS label, {d.greatest_by('confidence', 'seq')} AS confidence, {d.greatest_by('reason', 'seq')} AS reason FROM ledger WHERE event_type = 'adjudication' GROUP BY boundary_id),"

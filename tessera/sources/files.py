@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..review import ledger_faults
+
 LEDGER = "event_id string, event_type string, boundary_id string, review_id string, reviewer_id string, review_round int, label string, confidence string, reason string, created_at string, label_origin string, seq long"
 #: Columns that a queue's hash leaves out, since reviewers fill them in.
 MUTABLE = ("label", "confidence", "reason")
@@ -104,8 +106,11 @@ class LedgerTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in self._folders(held[-1])])
 
-    def append(self, events: DataFrame) -> int:
-        """Add the events whose review_id is new; fails if any repeats a reviewer, round and boundary. Returns the version."""
+    def append(self, events: DataFrame, candidates: DataFrame | None = None) -> int:
+        """Add the events whose review_id is new; fails if any repeats a reviewer, round and boundary. Returns the version.
+
+        With candidates (boundary_id), old and new events together have to keep every rule of a ledger.
+        """
         held = self.versions()
         folders = self._folders(held[-1]) if held else []
         old = self.read()
@@ -114,6 +119,10 @@ class LedgerTable:
         clash = new.select(*key).unionByName(new.select(*key).join(old.select(*key).distinct(), key, "left_semi")).groupBy(*key).count().where("count > 1")
         if clash.limit(1).collect():
             raise ValueError("an event repeats a reviewer, round and boundary")
+        if candidates is not None:
+            faults = ledger_faults(old.unionByName(new), candidates).limit(5).collect()
+            if faults:
+                raise ValueError("; ".join(f"{r['boundary_id']}, event {r['seq']}: {r['error']}" for r in faults))
         folder, version = f"events/{uuid.uuid4().hex}", (held[-1] + 1) if held else 1
         new.write.parquet(f"{self.path}/{folder}")
         pointer = f"{self.path}/pending-{uuid.uuid4().hex}"
