@@ -106,7 +106,8 @@ def score_boundaries(cues: DataFrame, load: Callable[[], Model], windows: Window
     sep = F.expr(f"CASE WHEN before IS NULL THEN '' WHEN {T.attaches(D, 'trim(before)', 'trim(text)', said)} THEN '' ELSE ' ' END")
     first = f"greatest(CAST(0 AS BIGINT), (pos - {size} + {hop} - 1) div {hop})"  # a window sees one cue past its end, so that it knows if it is the last
     spread = placed.select("source_id", "ordinal", "pos", F.trim("text").alias("text"), sep.alias("sep"), F.explode(F.expr(f"sequence({first}, pos div {hop})")).alias("w"))
-    grouped = spread.groupBy("source_id", "w").agg(F.sort_array(F.collect_list(F.struct("pos", "ordinal", "sep", "text"))).alias("cues"))
+    # dealt by window, so that the model's work on one long source is spread over tasks
+    grouped = spread.repartition("source_id", "w").groupBy("source_id", "w").agg(F.sort_array(F.collect_list(F.struct("pos", "ordinal", "sep", "text"))).alias("cues"))
     needed = grouped.where((F.col("w") == 0) | (F.size("cues") > 2 * context)).where(F.size("cues") > 1)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
